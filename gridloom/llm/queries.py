@@ -11,6 +11,7 @@ from gridloom.functions.labels import plain, plain_or_null
 from gridloom.llm.cutoff import fraction_cutoffs
 from gridloom.llm.overlap import near_pairs
 from gridloom.llm.packing import pack_texts
+from gridloom.llm.pii import find_pii, redact
 from gridloom.llm.splits import entities, grouped_splits, spanning_forest
 from gridloom.llm.termfreq import marked_terms
 from gridloom.llm.tokenizer import encode_corpus
@@ -134,10 +135,24 @@ def p7_containers(spark: SparkSession, at: str) -> DataFrame:
     return pack_texts(_table(spark, at, "documents"), "doc_id", "text", int(_settings(spark, at)["container_tokens"]))
 
 
+def _names(spark: SparkSession, at: str) -> list[str]:
+    """The parts of names known to the project, a table of fixed size."""
+    rows = _table(spark, at, "name_parts").where("name_part IS NOT NULL").select("name_part", "part_kind").limit(100_000)
+    return [(r.name_part, r.part_kind) for r in rows.collect()]
+
+
+def p8_found(spark: SparkSession, at: str) -> DataFrame:
+    return find_pii(_table(spark, at, "documents"), "doc_id", "text", _names(spark, at))
+
+
+def p8_redacted(spark: SparkSession, at: str) -> DataFrame:
+    return redact(_table(spark, at, "documents"), "doc_id", "text", _names(spark, at))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_best, p2_found, p2_overlap, p3_found, p3_terms, p3_totals, p4_found, p4_cutoffs,
-        p5_found, p5_splits, p6_ids, p7_containers,
+        p5_found, p5_splits, p6_ids, p7_containers, p8_found, p8_redacted,
     )
 }
