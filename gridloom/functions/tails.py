@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -82,13 +83,13 @@ def _series(*columns: pd.Series) -> list[np.ndarray]:
     return [c.astype("float64").to_numpy() for c in columns]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     (x,) = _series(z)
     return pd.Series(np.minimum(1.0, 2 * norm_sf(np.abs(x))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     x, n = _series(t, df)
     ok = np.isfinite(x) & (n > 0)
@@ -97,7 +98,7 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     x, a, b = _series(f, d1, d2)
     ok = np.isfinite(x) & (x >= 0) & (a > 0) & (b > 0)
@@ -106,7 +107,7 @@ def f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     v, k = _series(x, df)
     ok = np.isfinite(v) & (k > 0)
