@@ -81,3 +81,34 @@ def hashed_positions(df: DataFrame, keys: Sequence[str], seed: int, id_col: str,
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     out = ranked.join(other, on)
     return out.withColumn(name, F.col("_i") + F.col("_o")).drop("_h", "_b", "_kb", "_i", "_o", *[f"_k_{k}" for k in keys])
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], x: str, tie: str, sums: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
+    """Every row with its place ``i`` (from 1) in its group by ``x`` then ``tie``, running ``sums`` and the group's size ``n``.
+
+    ``x`` and ``tie`` are numbers, ``tie`` best unique. Rows with a null ``x`` are left out. Windows
+    stay inside buckets of ``x``; a value that fills several buckets is cut again by ``tie``.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(x).isNotNull()).select("*", *[c.alias(f"_v_{k}") for k, c in sums.items()])
+    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    edges = rows.groupBy(*keys).agg(F.percentile_approx(x, cuts, 1000).alias("_e"), F.percentile_approx(tie, cuts, 1000).alias("_te"))
+    placed = rows.join(edges, keys) if keys else rows.crossJoin(edges)  # one row
+    major = F.aggregate("_e", F.lit(0), lambda a, e: a + (e < F.col(x)).cast("int"))
+    minor = F.aggregate("_te", F.lit(0), lambda a, e: a + (e < F.col(tie)).cast("int"))
+    # A bucket of a single heavy value is cut again along the tie order; others stay whole.
+    heavy = F.aggregate("_e", F.lit(0), lambda a, e: a + (e == F.col(x)).cast("int")) > 1
+    placed = placed.withColumns({"_b": F.struct(major.alias("m"), heavy.cast("int").alias("h"), F.when(heavy, minor).otherwise(-1).alias("t"))}).drop("_e", "_te")
+    # Values equal to a heavy edge lie above the others of their bucket.
+    before = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_tn"), *[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    upto = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    before = before.select(
+        *keys, "_b", F.coalesce(F.sum("_tn").over(upto), F.lit(0)).alias("_on"), F.sum("_tn").over(W.partitionBy(*keys)).alias("n"),
+        *[F.coalesce(F.sum(f"_t_{k}").over(upto), F.lit(0)).alias(f"_o_{k}") for k in sums],
+    )
+    inside = W.partitionBy(*keys, "_b").orderBy(x, tie)
+    upto_row = inside.rowsBetween(W.unboundedPreceding, 0)
+    ranked = placed.select("*", F.row_number().over(inside).alias("_i"), *[F.sum(f"_v_{k}").over(upto_row).alias(f"_s_{k}") for k in sums])
+    out = ranked.join(before, [*keys, "_b"])
+    new = {"i": F.col("_i") + F.col("_on"), **{k: F.col(f"_s_{k}") + F.col(f"_o_{k}") for k in sums}}
+    return out.select(*[c for c in df.columns if c not in new and c != "n"], *[c.alias(k) for k, c in new.items()], "n")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import features
+from gridloom.plans import features, predictions
 
-MODULES = (features,)
+MODULES = (features, predictions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
