@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import features, predictions
+from gridloom.plans import features, pipeline, predictions
 
-MODULES = (features, predictions)
+MODULES = (features, predictions, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
