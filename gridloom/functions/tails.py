@@ -116,10 +116,10 @@ def chi2_upper(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def clopper_pearson_upper(k: np.ndarray, n: np.ndarray, alpha: float) -> np.ndarray:
+def clopper_pearson_upper(k: np.ndarray, n: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """Upper bound of an error rate; 1 where nothing was seen or all was wrong."""
-    k, n = np.asarray(k, float), np.asarray(n, float)
+    k, n, alpha = np.broadcast_arrays(*(np.asarray(v, float) for v in (k, n, alpha)))
     out = np.ones(len(k))
     ok = (n > 0) & (k < n)
-    out[ok] = beta_ppf(1 - alpha, k[ok] + 1, n[ok] - k[ok])
+    out[ok] = beta_ppf(1 - alpha[ok], k[ok] + 1, n[ok] - k[ok])
     return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.ranks import hash_order, quantiles, running_sums, value_counts
-from gridloom.functions.tails import clopper_pearson_upper
+from gridloom.functions.tails import beta_inc, clopper_pearson_upper
 from gridloom.operators.score import uniform_bin, wilson
 
 
@@ -207,28 +207,30 @@ def risk_threshold(df: DataFrame, keys: Sequence[str], risk: str, wrong: Column,
     m = steps.groupBy(*keys).agg(F.count("*").alias("bonferroni_m"), F.max("cum").alias("n_total"))
     j = steps.join(m, keys) if keys else steps.crossJoin(F.broadcast(m))  # one row
 
+    @F.pandas_udf(T.BooleanType())
+    def holds(k: pd.Series, n: pd.Series, a: pd.Series) -> pd.Series:
+        k, n, a = (v.to_numpy(float) for v in (k, n, a))
+        # The bound is at most the target where the beta distribution has 1 - a of its mass below the target.
+        ok = (k < n) & (target < 1)
+        out = np.full(len(k), target >= 1)
+        out[ok] = beta_inc(k[ok] + 1, n[ok] - k[ok], np.full(ok.sum(), target)) >= 1 - a[ok]
+        return pd.Series(out)
+
     @F.pandas_udf(T.DoubleType())
     def bound(k: pd.Series, n: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series(np.ones(0) if not len(k) else _bounds(k.to_numpy(float), n.to_numpy(float), a.to_numpy(float)))
+        return pd.Series(clopper_pearson_upper(*(v.to_numpy(float) for v in (k, n, a))))
 
-    j = j.where(F.col("cum") >= least).withColumn("upper", bound("cum_e", "cum", F.lit(float(alpha)) / F.col("bonferroni_m")))
-    top = j.where(F.col("upper") <= target).groupBy(*keys).agg(F.max(F.struct(F.col(risk).alias("t"), F.col("cum").alias("n"), F.col("cum_e").alias("k"), "upper")).alias("s"))
+    share = F.lit(float(alpha)) / F.col("bonferroni_m")
+    top = j.where((F.col("cum") >= least) & holds("cum_e", "cum", share)).groupBy(*keys).agg(F.max(F.struct(F.col(risk).alias("t"), F.col("cum").alias("n"), F.col("cum_e").alias("k"), share.alias("a"))).alias("s"))
+    top = top.select(*keys, "s", bound("s.k", "s.n", "s.a").alias("upper"))  # a row a source
     out = m.join(top, keys, "left") if keys else m.join(top, F.lit(True), "left")
     s = F.col("s")
     return out.select(
-        *keys, s["t"].alias("t_star"), s["n"].alias("oof_n"), s["k"].alias("oof_k"), (s["k"] / s["n"]).alias("oof_error_rate"), s["upper"].alias("oof_cp_upper"),
+        *keys, s["t"].alias("t_star"), s["n"].alias("oof_n"), s["k"].alias("oof_k"), (s["k"] / s["n"]).alias("oof_error_rate"), F.col("upper").alias("oof_cp_upper"),
         (s["n"] / F.col("n_total")).alias("oof_coverage"), "bonferroni_m", F.when(s.isNull(), F.lit("none")).otherwise("ok").alias("status"),
     )
 
 
-def _bounds(k: np.ndarray, n: np.ndarray, a: np.ndarray) -> np.ndarray:
-    out = np.ones(len(k))
-    for alpha in np.unique(a):
-        at = a == alpha
-        out[at] = clopper_pearson_upper(k[at], n[at], float(alpha))
-    return out
-
-
 def crossfit_risk(df: DataFrame, keys: Sequence[str], id_col: str, confidence: str, wrong: Column, folds: int = 5, seed: int = 69, **options) -> DataFrame:
     """``id_col`` and ``aer`` of each row from bins fitted on the other folds only; rows fall into folds by hash.
 

@@ -156,7 +156,7 @@ def _bins_joined(s, d):
 
 
 def _pivot(s, d):
-    return rounded(R.wide_table(_long(s, d), ["model", "feat_select"], "metric", "value", METRICS), 10)
+    return R.wide_table(_long(s, d), ["model", "feat_select"], "metric", "value", METRICS)
 
 
 QUERIES = {
@@ -196,7 +196,7 @@ QUERIES = {
     "embedded_selection": _embedded,
     "tune_predict": _tuned,
     "out_of_fold": _oof,
-    "wide_table": _pivot,
+    "wide_table": lambda s, d: rounded(_pivot(s, d), 10),
     "metric_by_study": lambda s, d: rounded(R.metric_by_target(_long(s, d).withColumnRenamed("feat_select", "target"), ["model"], "auc", ["auc", "pearson", "d", "pca"])),
     "top_per_group": lambda s, d: R.top_per_group(_tuning(s, d).select("result_id", "study", "auc"), ["study"], "auc", "result_id", 2),
     "grouped_summary": lambda s, d: rounded(R.grouped_summary(_tuning(s, d), ["model"], "auc")),
