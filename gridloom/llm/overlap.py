@@ -38,29 +38,30 @@ def _cell_width(tolerance: float) -> tuple[float, float]:
     return 8 * reach, reach
 
 
-def _cells(x: Column, tolerance: float, both: bool) -> Column:
-    """Cells of a number as strings: one, or with its neighbour if ``both`` and an edge is near."""
+def _cells(c: str, tolerance: float, both: bool) -> str:
+    """SQL of a number's cells as an array of strings: one, or with its neighbour if ``both`` and an edge is near."""
     width, reach = _cell_width(tolerance)
-    at = F.log(F.abs(x)) / F.lit(width)
-    cell = F.floor(at)
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit("+"))
-    names = F.array(F.concat(sign, cell.cast("string")))
+    at = f"ln(abs({c})) / {width!r}D"
+    name = lambda shift: f"concat(if({c} < 0, '-', '+'), cast(floor({at}) + {shift} AS string))"
+    cells = f"array({name(0)})"
     if both:
-        low = F.array(F.concat(sign, (cell - 1).cast("string")))
-        high = F.array(F.concat(sign, (cell + 1).cast("string")))
-        part, near = at - cell, reach / width + 1e-9
-        names = F.when(part < near, F.concat(names, low)).when(part > 1 - near, F.concat(names, high)).otherwise(names)
-    odd = F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(x.isNull(), F.array(F.lit("missing"))).when(x == 0, F.array(F.lit("0"))).when(odd, F.array(x.cast("string"))).otherwise(names)
+        part, near = f"({at} - floor({at}))", reach / width + 1e-9
+        cells = f"CASE WHEN {part} < {near!r}D THEN array({name(0)}, {name(-1)}) WHEN {part} > {1 - near!r}D THEN array({name(0)}, {name(1)}) ELSE {cells} END"
+    odd = f"isnan({c}) OR abs({c}) = double('Infinity')"
+    return f"CASE WHEN {c} IS NULL THEN array('missing') WHEN {c} = 0 THEN array('0') WHEN {odd} THEN array(cast({c} AS string)) ELSE {cells} END"
 
 
-def _signature(tokens: Sequence[Column]) -> Column:
-    """Bucket of a band: hash of the least shingle hashes. The order of the tokens is part of a shingle."""
+def _runs(tokens: Sequence[str]) -> list[str]:
+    """SQL of a band's shingle hashes. The order of the tokens is part of a shingle."""
     n = len(tokens)
     size = min(SHINGLE, n)
-    runs = [F.xxhash64(F.lit(i), *[tokens[(i + j) % n] for j in range(size)]) for i in range(n)]
-    mins = [F.least(*h) if len(h := [F.xxhash64(F.lit(k), r) for r in runs]) > 1 else h[0] for k in range(HASHES)]
-    return F.xxhash64(*mins)
+    return [f"xxhash64({i}, {', '.join(tokens[(i + j) % n] for j in range(size))})" for i in range(n)]
+
+
+def _signature(band: int, runs: Sequence[str]) -> str:
+    """SQL of a band's bucket: hash of the least shingle hashes."""
+    mins = [f"least({', '.join(h)})" if len(h := [f"xxhash64({k}, {r})" for r in runs]) > 1 else h[0] for k in range(HASHES)]
+    return f"xxhash64({band}, {', '.join(mins)})"
 
 
 def interleave(numbers: Sequence[str], words: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -96,20 +97,22 @@ def near_pairs(df: DataFrame, id_col: str, side: Column, numbers: Sequence[str],
     features = [*num, *txt]
     rows = stage.write(rows)
 
-    def with_tokens(part: DataFrame, both: bool, names: Sequence[str]) -> DataFrame:
-        part = part.withColumns({f"t_{c}": _cells(F.col(c), tolerance, both) if c[0] == "n" else F.array(F.coalesce(F.concat(F.lit("="), c), F.lit("missing"))) for c in names})
+    def with_tokens(part: DataFrame, both: bool, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
+        """``keep`` and a token ``t_{name}`` of each feature; numbers near an edge give a row for each cell if ``both``."""
+        cells = [f"{_cells(c, tolerance, both)} AS t_{c}" if c[0] == "n" else f"coalesce(concat('=', {c}), 'missing') AS t_{c}" for c in names]
+        part = part.selectExpr(*keep, *cells)
         for c in names:
-            if c[0] == "n" and both:
-                part = part.withColumn(f"t_{c}", F.explode(f"t_{c}"))
-            else:
-                part = part.withColumn(f"t_{c}", F.col(f"t_{c}")[0])
+            if c[0] == "n":
+                token = f"explode(t_{c})" if both else f"t_{c}[0]"
+                part = part.selectExpr(*keep, *[f"{token} AS t_{x}" if x == c else f"t_{x}" for x in names])
         return part
 
     def keys(part: DataFrame, both: bool) -> DataFrame:
         out = []
         for i, names in enumerate(bands):
-            t = with_tokens(part.select("id", "side", *names), both, names)
-            out.append(t.select("id", "side", F.lit(i).alias("band"), F.xxhash64(F.lit(i), _signature([F.col(f"t_{c}") for c in names])).alias("bucket")))
+            t = with_tokens(part, both, names, ["id", "side"])
+            hashed = t.selectExpr("id", "side", *[f"{r} AS r{j}" for j, r in enumerate(_runs([f"t_{c}" for c in names]))])
+            out.append(hashed.selectExpr("id", "side", f"{i} AS band", f"{_signature(i, [f'r{j}' for j in range(len(names))])} AS bucket"))
         return out[0].unionByName(out[1])
 
     sides = {r.side: r["count"] for r in rows.groupBy("side").count().collect()}
@@ -124,11 +127,10 @@ def near_pairs(df: DataFrame, id_col: str, side: Column, numbers: Sequence[str],
         out = []
         for i, names in enumerate(bands):
             other = bands[1 - i]
-            t = with_tokens(part.where(F.col("band") == i), both, other)
-            tokens = [F.col(f"t_{c}") for c in other]
+            t = with_tokens(part.where(F.col("band") == i), both, other, ["id", "side", "bucket"])
             # All but one feature of the other band; a pair of this bucket can differ in that one only.
-            left_out = F.array(*[F.xxhash64(F.lit(j), "bucket", *[x for m, x in enumerate(tokens) if m != j]) for j in range(len(tokens))])
-            out.append(t.select("id", "side", F.lit(i + 2).alias("band"), F.explode(left_out).alias("bucket")))
+            left_out = ", ".join(f"xxhash64({', '.join([str(j), 'bucket', *[f't_{c}' for c in other if c != x]])})" for j, x in enumerate(other))
+            out.append(t.selectExpr("id", "side", f"{i + 2} AS band", f"explode(array({left_out})) AS bucket"))
         return out[0].unionByName(out[1])
 
     hot = kept.where("hot").join(rows.drop("side"), "id")
@@ -139,15 +141,11 @@ def near_pairs(df: DataFrame, id_col: str, side: Column, numbers: Sequence[str],
     b = full.where("side = 'b'").select("band", "bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", *features)])
     differs = []
     for c in features:
-        x, y = F.col(f"{c}_a"), F.col(f"{c}_b")
+        x, y = f"{c}_a", f"{c}_b"
+        agree = f"{x} = {y}"
         if c[0] == "n":
-            agree = (x == y) | (F.abs(x - y) <= F.lit(tolerance) * F.greatest(F.abs(x), F.abs(y))) & (F.greatest(F.abs(x), F.abs(y)) < float("inf"))
-        else:
-            agree = x == y
-        differs.append(F.when(x.isNull() | y.isNull(), (x.isNull() != y.isNull()).cast("int")).when(agree, 0).otherwise(1))
-    n = differs[0]
-    for d in differs[1:]:
-        n = n + d
-    pairs = a.join(b, ["band", "bucket"]).select("id_a", "id_b", n.alias("n_differing")).where(F.col("n_differing") <= differing).distinct()
+            agree += f" OR abs({x} - {y}) <= {tolerance!r}D * greatest(abs({x}), abs({y})) AND greatest(abs({x}), abs({y})) < double('Infinity')"
+        differs.append(f"CASE WHEN {x} IS NULL OR {y} IS NULL THEN int(({x} IS NULL) != ({y} IS NULL)) WHEN {agree} THEN 0 ELSE 1 END")
+    pairs = a.join(b, ["band", "bucket"]).selectExpr("id_a", "id_b", f"{' + '.join(differs)} AS n_differing").where(F.col("n_differing") <= differing).distinct()
     same = len(features) - F.col("n_differing")
     return pairs.withColumn("jaccard", same / (2 * len(features) - same))
