@@ -60,7 +60,7 @@ def bisect_groups(gid: np.ndarray, words: Sequence[np.ndarray], n: int) -> np.nd
     ``words``: unsigned, most important first; the last identifies a row within its group. Rows
     alike in group and all words count once.
     """
-    order = np.lexsort((words[0], words[-1], gid))
+    order = np.lexsort((*words[:-1], words[-1], gid))  # rows alike become neighbours
     g = gid[order]
     if len(order) == 0 or n < 1:
         return order[:0]
