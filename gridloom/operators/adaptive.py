@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.durable import Stage
 from gridloom.functions.ranks import hash_order, quantiles, running_sums, value_counts
 from gridloom.functions.tails import beta_inc, clopper_pearson_upper
 from gridloom.operators.score import uniform_bin, wilson
@@ -203,7 +204,7 @@ def risk_threshold(df: DataFrame, keys: Sequence[str], risk: str, wrong: Column,
     """
     keys = list(keys)
     rows = df.where(F.col(risk).isNotNull() & ~F.isnan(risk) & (F.abs(F.col(risk)) < float("inf"))).withColumn("_w", wrong.cast("long"))
-    steps = value_counts(rows, keys, risk, {"e": F.col("_w")})
+    steps = Stage(df.sparkSession, "risk").write(value_counts(rows, keys, risk, {"e": F.col("_w")}))
     m = steps.groupBy(*keys).agg(F.count("*").alias("bonferroni_m"), F.max("cum").alias("n_total"))
     j = steps.join(m, keys) if keys else steps.crossJoin(F.broadcast(m))  # one row
 
@@ -292,10 +293,12 @@ def confidence_metrics(df: DataFrame, proba: str, pred: str | None = None) -> Da
 def fit_temperature(df: DataFrame, logits: str, y: str, steps: int = 25) -> float:
     """The temperature of least log-loss on a logarithmic grid from 0.01 to 100, all tried in one pass."""
     grid = [float(t) for t in np.logspace(-2, 2, steps)]
-    losses = []
-    for t in grid:
-        p = F.get(softmax(F.transform(F.col(logits), lambda v, t=t: v / t)), F.col(y))
-        losses.append(F.avg(-F.log(F.greatest(F.lit(1e-15), p))))
+
+    def loss(t: float) -> Column:
+        p = F.get(softmax(F.transform(F.col(logits), lambda v: v / t)), F.col(y))
+        return F.avg(-F.log(F.greatest(F.lit(1e-15), p)))
+
+    losses = [loss(t) for t in grid]
     row = df.where(F.col(logits).isNotNull() & F.col(y).isNotNull()).agg(*losses).first()
     known = [(v, t) for v, t in zip(row, grid) if v is not None]
     return min(known)[1] if known else 1.0

@@ -220,6 +220,16 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f / 252))
 
 
+def _within(s: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How many of the sorted values lie within the radius of each x, by the differences themselves, not by rounded ends."""
+    low, high = np.searchsorted(s, x - radius, "left"), np.searchsorted(s, x + radius, "right")
+    while (over := (high > low) & (s[np.maximum(high - 1, 0)] - x > radius)).any():
+        high = high - over
+    while (over := (high > low) & (x - s[np.minimum(low, len(s) - 1)] > radius)).any():
+        low = low + over
+    return high - low
+
+
 def _mi_class(x: np.ndarray, y: np.ndarray, k: int) -> float:
     """Nearest-neighbour estimate of a number's information about a class."""
     keep, radius, ks, sizes = np.zeros(len(x), bool), np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
@@ -239,8 +249,7 @@ def _mi_class(x: np.ndarray, y: np.ndarray, k: int) -> float:
     if not keep.any():
         return 0.0
     x, radius, ks, sizes = x[keep], radius[keep], ks[keep], sizes[keep]
-    s = np.sort(x)
-    m = np.searchsorted(s, x + radius, "right") - np.searchsorted(s, x - radius, "left")
+    m = _within(np.sort(x), x, radius).astype(float)
     return max(0.0, float(_digamma(np.array([len(x)]))[0] + _digamma(ks).mean() - _digamma(sizes).mean() - _digamma(np.maximum(m, 1)).mean()))
 
 
@@ -256,8 +265,7 @@ def _mi_numbers(x: np.ndarray, y: np.ndarray, k: int) -> float:
         radius[i : i + 512] = np.nextafter(np.partition(d, k, axis=1)[:, k], 0)
     total = _digamma(np.array([n]))[0] + _digamma(np.array([k]))[0]
     for v in (x, y):
-        s = np.sort(v)
-        total -= _digamma((np.searchsorted(s, v + radius, "right") - np.searchsorted(s, v - radius, "left")).astype(float)).mean()
+        total -= _digamma(_within(np.sort(v), v, radius).astype(float)).mean()
     return max(0.0, float(total))
 
 
