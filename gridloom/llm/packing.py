@@ -126,7 +126,8 @@ def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int, path: s
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(place(ids, counts, directions), pa.int64())], ["id", "size", "key"])
 
     slim = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id")
-    sized = slim.mapInArrow(measure, T.StructType([slim.schema["id"], T.StructField("size", T.LongType()), T.StructField("key", T.LongType())]))
+    # Written first: finding the ranges reads the keys once more, and must not encode the texts once more.
+    sized = stage.write(slim.mapInArrow(measure, T.StructType([slim.schema["id"], T.StructField("size", T.LongType()), T.StructField("key", T.LongType())])))
     # A key held by very many texts is cut by the hash of their identifiers.
     tie = F.xxhash64("id").alias("tie")
     ranged = sized.withColumn("tie", tie).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "id")
