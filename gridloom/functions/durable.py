@@ -61,4 +61,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = max(1, spark.sparkContext.defaultParallelism)
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df if size > 4 * cores * split else df.repartition(4 * cores, *keys)
+    parts = max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))  # executors may still be starting
+    return df if size > parts * split else df.repartition(parts, *keys)

@@ -65,8 +65,9 @@ def summary_ranges(tables: Sequence[DataFrame], keys: Sequence[str], metrics: Se
     if not twice.isEmpty():
         raise ValueError("a table holds a row twice")
     aggs = []
+    short = lambda c: F.round(F.round(c.cast("double"), 9), 3)  # noqa: E731  half up, untouched by the order of sums
     for m in metrics:
-        aggs += [F.avg(m).alias(m), F.format_string("%.3f–%.3f", F.min(m).cast("double"), F.max(m).cast("double")).alias(f"{m}_range")]
+        aggs += [F.avg(m).alias(m), F.format_string("%.3f–%.3f", short(F.min(m)), short(F.max(m))).alias(f"{m}_range")]
     return rows.groupBy(*keys).agg(*aggs)
 
 

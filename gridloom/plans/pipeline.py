@@ -200,7 +200,7 @@ QUERIES = {
     "metric_by_study": lambda s, d: rounded(R.metric_by_target(_long(s, d).withColumnRenamed("feat_select", "target"), ["model"], "auc", ["auc", "pearson", "d", "pca"])),
     "top_per_group": lambda s, d: R.top_per_group(_tuning(s, d).select("result_id", "study", "auc"), ["study"], "auc", "result_id", 2),
     "grouped_summary": lambda s, d: rounded(R.grouped_summary(_tuning(s, d), ["model"], "auc")),
-    "summary_ranges": lambda s, d: rounded(R.summary_ranges([_pivot(s, d), _pivot(s, d).withColumn("acc", F.col("acc") / 2)], ["model", "feat_select"], ["acc", "auc"]), 9),
+    "summary_ranges": lambda s, d: rounded(R.summary_ranges([_pivot(s, d), _pivot(s, d).withColumn("acc", F.col("acc") / 2)], ["model", "feat_select"], ["acc", "auc"]), 12),
     "latest_versions": lambda s, d: R.latest_versions(table(s, d, "tuning_results").select("study", "result_id").distinct(), "study", "result_id"),
     "left_join_predictions": _joined,
     "bin_lookup": lambda s, d: R.bin_lookup(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount"), "l_discount", [0.0, 0.02, 0.05, 0.1]).select("l_orderkey", "l_linenumber", "bin"),
@@ -286,8 +286,8 @@ a AS (SELECT feature, sum(n - r + 1) AS points, count(DISTINCT target) AS suppor
         ["mean", "min", "max", "p05", "p25", "p50", "p75", "p95"],
     ),
     "summary_ranges": rounded_sql(
-        f"WITH {_T}, w AS ({_PIV}), u AS (SELECT model, feat_select, acc, auc FROM w UNION ALL SELECT model, feat_select, acc / 2, auc FROM w) SELECT model, feat_select, avg(acc) AS acc, printf('%.3f–%.3f', min(acc), max(acc)) AS acc_range, avg(auc) AS auc, printf('%.3f–%.3f', min(auc), max(auc)) AS auc_range FROM u GROUP BY 1, 2",
-        ["acc", "auc"], 9,
+        f"WITH {_T}, w AS ({_PIV}), u AS (SELECT model, feat_select, acc, auc FROM w UNION ALL SELECT model, feat_select, acc / 2, auc FROM w) SELECT model, feat_select, avg(acc) AS acc, printf('%.3f–%.3f', round(round(min(acc), 9), 3), round(round(max(acc), 9), 3)) AS acc_range, avg(auc) AS auc, printf('%.3f–%.3f', round(round(min(auc), 9), 3), round(round(max(auc), 9), 3)) AS auc_range FROM u GROUP BY 1, 2",
+        ["acc", "auc"], 12,
     ),
     "latest_versions": "SELECT study, max(result_id) AS result_id FROM tuning_results GROUP BY study",
     "left_join_predictions": "SELECT row_id, CASE WHEN ix_train IS NOT NULL THEN a2 END AS p__train, CASE WHEN ix_tests IS NOT NULL THEN a3 END AS p__tests FROM prep_rows",
