@@ -87,6 +87,7 @@ FOUND = [
     ("2025-10-22 00:10:10 0000012345678901234567890123456789", set()),
     ("SSN 917406929, (965-17-8821) and tax id 29 459 423 617", {("id_number", "917406929"), ("id_number", "965-17-8821"), ("id_number", "29 459 423 617")}),
     ("passport no. YJ9867333; DNI 27927970Y; insurance no. QQ 52 48 85 A; part no. AD-4977131", {("id_number", "YJ9867333"), ("id_number", "27927970Y"), ("id_number", "QQ 52 48 85 A")}),
+    ("row QQ 79 01 46 D again, 530528-7180 but 539928-7180 and AD 79 01 46 Z", {("id_number", "QQ 79 01 46 D"), ("id_number", "530528-7180")}),
     ("at 9125-A Old Kiln Lane, Town 12345", {("street_address", "9125-A Old Kiln Lane")}),
     ("go to 1883 Brindle Rd.. Then 7 bis rue du Vieux Pressoir.", {("street_address", "1883 Brindle Rd."), ("street_address", "7 bis rue du Vieux Pressoir")}),
     ("Tolvenstr. 29 b, Calle de la Loma, 82 and C/ Torvena 137", {("street_address", "Tolvenstr. 29 b"), ("street_address", "Calle de la Loma, 82"), ("street_address", "C/ Torvena 137")}),
