@@ -57,12 +57,10 @@ def made(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("hot", [0, 10_000])
-def test_no_pair_is_lost(spark, seed, hot):
+@pytest.mark.parametrize("seed,hot,most", [(0, 0, 1), (1, 10_000, 1), (2, 0, 0), (3, 3, 1)])
+def test_no_pair_is_lost(spark, seed, hot, most):
     rows = made(seed)
-    for most in (0, 1):
-        assert run(spark, rows, most=most, hot_pairs=hot) == brute(rows, 0.005, most)
+    assert run(spark, rows, most=most, hot_pairs=hot) == brute(rows, 0.005, most)
 
 
 def test_numbers_at_cell_edges(spark):

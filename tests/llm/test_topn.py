@@ -23,8 +23,7 @@ def run(spark, rows, n, **options):
     return {((r.g, r.h), r.id, r["rank"]) for r in top_n_per_group(df, ["g", "h"], ORDER, "id", n, **options).collect()}
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("block", [16, 1 << 18])
+@pytest.mark.parametrize("seed,block", [(0, 16), (1, 1 << 18), (2, 16)])
 def test_against_brute_force(spark, seed, block):
     r = np.random.default_rng(seed)
     rows = []
