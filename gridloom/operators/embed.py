@@ -83,3 +83,33 @@ def cosine_to(df: DataFrame, embedding: str, other: Sequence[float], name: str =
     size = F.sqrt(F.aggregate(F.transform(F.col(embedding).cast("array<double>"), lambda a: a * a), F.lit(0.0), lambda s, x: s + x))
     length = float(np.linalg.norm(np.asarray(other, float)))
     return df.withColumn(name, F.when((size > 0) & F.lit(length > 0), dot / (size * length)))
+
+
+def image_rows(df: DataFrame) -> DataFrame:
+    """Distinct rows of an image dataset with the content and target columns only; rows without an image are left out.
+
+    Decoding is up to the encoder that ``embed_images`` is given.
+    """
+    content, target = check_dataset(df)
+    if content != "image":
+        raise ValueError("no image column")
+    return df.select(content, target).where(F.col(content).isNotNull()).dropDuplicates()
+
+
+def embed_images(df: DataFrame, id_col: str, image_col: str, encode: Callable[[Sequence[bytes]], np.ndarray], batch: int = 64) -> DataFrame:
+    """``id_col`` and ``embedding`` of each row's bytes by the encoder handed in; a null image has a null embedding."""
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, batch):
+                part = b.slice(s, batch)
+                images = part.column(1).to_pylist()
+                at = [i for i, x in enumerate(images) if x is not None]
+                rows: list = [None] * len(images)
+                for i, v in zip(at, encode([images[i] for i in at]) if at else []):
+                    rows[i] = np.asarray(v, float).tolist()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float64()))], ["id", "embedding"])
+
+    slim = df.select(F.col(id_col).alias("id"), F.col(image_col).alias("image"))
+    kind = slim.schema["id"].dataType.simpleString()
+    return slim.mapInArrow(embed, f"id {kind}, embedding array<double>").withColumnRenamed("id", id_col)

@@ -13,7 +13,7 @@ def table(n=300, seed=0):
 
 def test_classes_with_adaptive_error(spark, tmp_path):
     df = spark.createDataFrame(table().drop(columns="z"))
-    o = Options(target="y", classifiers=["lr"], htune_trials=1, feat_select=["filter"], adaptive_error=True, aer_oof_folds=3, aer_ensemble=True, aer_ensemble_strategies=["strategy1_min_aer"], outdir=str(tmp_path))
+    o = Options(target="y", classifiers=["lr"], htune_trials=1, feat_select=["filter"], filter_method=["assoc"], adaptive_error=True, aer_oof_folds=2, aer_ensemble=True, aer_ensemble_strategies=["strategy1_min_aer"], outdir=str(tmp_path))
     r = analyse(spark, o, df)
     assert r.schema.kinds["id"][0] == "CertainId" and "x_one" in r.selected["y.assoc"]
     acc = {(x.selection, x.metric): x.value for x in r.tables["performance"].collect()}
