@@ -19,16 +19,16 @@ def avg_pool(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return (states * m).sum(1) / np.maximum(m.sum(1), 1e-9)
 
 
-def hashing_encoder(dimensions: int = 64, most_tokens: int = 512, prefix: str = "query: ") -> Encoder:
-    """Mean of hashed unit vectors of the text's first words, scaled to length 1; needs no model files."""
+def hashing_encoder(dimensions: int = 64, prefix: str = "query: ") -> Encoder:
+    """Mean of hashed unit vectors of all words of the text, scaled to length 1; needs no model files."""
 
     def encode(texts: Sequence[str]) -> np.ndarray:
         import xxhash
 
         out = np.zeros((len(texts), dimensions))
         for i, t in enumerate(texts):
-            for w in re.findall(r"\w+", prefix + t)[:most_tokens]:
-                h = xxhash.xxh3_64_intdigest(w.lower())
+            for w in re.finditer(r"\w+", prefix + t):
+                h = xxhash.xxh3_64_intdigest(w[0].lower())
                 out[i, h % dimensions] += 1.0 if h >> 63 else -1.0
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n > 0, n, 1.0)
@@ -36,6 +36,26 @@ def hashing_encoder(dimensions: int = 64, most_tokens: int = 512, prefix: str =
     return encode
 
 
+def windowed(encode: Encoder, words: int) -> Encoder:
+    """For a model that reads ``words`` words at most: each text's windows encoded and pooled, weighted by their words."""
+
+    def run(texts: Sequence[str]) -> np.ndarray:
+        parts, owner, size = [], [], []
+        for i, t in enumerate(texts):
+            found = t.split()
+            for s in range(0, max(1, len(found)), words):
+                own = found[s : s + words]
+                parts.append(" ".join(own) if len(found) > words else t)
+                owner.append(i)
+                size.append(max(1, len(own)))
+        vectors, weight = np.asarray(encode(parts), float), np.array(size, float)
+        out = np.zeros((len(texts), vectors.shape[1]))
+        np.add.at(out, owner, vectors * weight[:, None])
+        return out / np.bincount(owner, weight, len(texts))[:, None]
+
+    return run
+
+
 def check_dataset(df: DataFrame) -> tuple[str, str]:
     """The (content, target) columns of an embedding dataset: one of text or image, one of label or target. Others are ignored; raises otherwise."""
     content = [c for c in ("text", "image") if c in df.columns]

@@ -318,6 +318,17 @@ def test_embedding(spark):
     assert embed.widen_embedding(frame(spark, [([1.0, 2.0],)], "e array<double>"), "e", 2).columns == ["embed0000", "embed0001"]
 
 
+def test_embedding_reads_whole_texts(spark):
+    start = "w " * 600
+    out = {r.i: r.embedding for r in embed.embed_texts(frame(spark, [(1, start + "alpha " * 300), (2, start + "beta " * 300)], "i int, text string"), "i", "text").collect()}
+    assert not np.allclose(out[1], out[2])
+
+
+def test_windows_are_pooled():
+    run = embed.windowed(lambda texts: np.array([[len(t.split()), t.count("z")] for t in texts], float), 2)
+    assert np.allclose(run(["a b z", "a", ""]), [[5 / 3, 1 / 3], [1, 0], [0, 0]])
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
