@@ -6,7 +6,8 @@ aggregate, contingency statistics from counted pairs; no statistic needs a featu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.functions import tails
-from gridloom.functions.ranks import hashed_positions, value_counts
+from gridloom.functions.durable import Stage
+from gridloom.functions.ranks import running_sums, value_counts
 from gridloom.operators.shape import melt
 
 # What each statistic means to selection.
@@ -220,77 +222,164 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f / 252))
 
 
-def _within(s: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """How many of the sorted values lie within the radius of each x, by the differences themselves, not by rounded ends."""
-    low, high = np.searchsorted(s, x - radius, "left"), np.searchsorted(s, x + radius, "right")
-    while (over := (high > low) & (s[np.maximum(high - 1, 0)] - x > radius)).any():
-        high = high - over
-    while (over := (high > low) & (x - s[np.minimum(low, len(s) - 1)] > radius)).any():
-        low = low + over
-    return high - low
-
-
-def _mi_class(x: np.ndarray, y: np.ndarray, k: int) -> float:
-    """Nearest-neighbour estimate of a number's information about a class."""
-    keep, radius, ks, sizes = np.zeros(len(x), bool), np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
-    for c in np.unique(y):
-        at = np.flatnonzero(y == c)
-        if len(at) < 2:
-            continue
-        kk = min(k, len(at) - 1)
-        order = at[np.argsort(x[at], kind="stable")]
-        s = x[order]
-        gaps = np.full((len(s), 2 * kk), np.inf)
-        for j in range(1, kk + 1):
-            gaps[j:, 2 * j - 2] = s[j:] - s[:-j]
-            gaps[:-j, 2 * j - 1] = s[j:] - s[:-j]
-        radius[order] = np.nextafter(np.sort(gaps, 1)[:, kk - 1], 0)
-        keep[at], ks[at], sizes[at] = True, kk, len(at)
-    if not keep.any():
-        return 0.0
-    x, radius, ks, sizes = x[keep], radius[keep], ks[keep], sizes[keep]
-    m = _within(np.sort(x), x, radius).astype(float)
-    return max(0.0, float(_digamma(np.array([len(x)]))[0] + _digamma(ks).mean() - _digamma(sizes).mean() - _digamma(np.maximum(m, 1)).mean()))
-
-
-def _mi_numbers(x: np.ndarray, y: np.ndarray, k: int) -> float:
-    """Nearest-neighbour estimate of the information of two numbers, by blocks of rows."""
-    x, y = (v / s if (s := v.std()) > 0 else v for v in (x, y))
-    n = len(x)
-    if n <= k:
-        return 0.0
-    radius = np.zeros(n)
-    for i in range(0, n, 512):
-        d = np.maximum(np.abs(x[i : i + 512, None] - x), np.abs(y[i : i + 512, None] - y))
-        radius[i : i + 512] = np.nextafter(np.partition(d, k, axis=1)[:, k], 0)
-    total = _digamma(np.array([n]))[0] + _digamma(np.array([k]))[0]
-    for v in (x, y):
-        total -= _digamma(_within(np.sort(v), v, radius).astype(float)).mean()
-    return max(0.0, float(total))
-
-
-def mutual_info(df: DataFrame, id_col: str, columns: Sequence[str], target: str, classify: bool, rows: int = 1500, k: int = 3, seed: int = 69) -> DataFrame:
-    """``feature``, ``mut_info`` of continuous features by k nearest neighbours.
-
-    The estimate is made from the ``rows`` first rows in a reproducible random order (for a class
-    target as many of each class as its share), the bound that keeps it fit for a task; the same
-    rows serve all features. No jitter is added, so the result is the same each time.
+def _ordered(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles."""
+    i = (np.asarray(v, float) + 0.0).view(np.int64)
+    return np.where(i >= 0, i, np.int64(-(2**63)) - i)
+
+
+def _doubles(i: np.ndarray) -> np.ndarray:
+    return np.where(i >= 0, i, np.int64(-(2**63)) - i).view(np.float64)
+
+
+def _ends(x: np.ndarray, radius: np.ndarray, scale: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest double whose scaled difference from x is within the radius, by the difference itself, not by rounded ends."""
+    far = np.nextafter(2 * radius * scale + np.abs(x) * 1e-9, np.inf)
+    out = []
+    for sign in (-1.0, 1.0):
+        near, off = sign * x, sign * x + far  # mirrored, so that the end lies above
+        low, high = _ordered(near), _ordered(np.minimum(off, np.finfo(float).max))
+        for _ in range(64):
+            # Rounds up without overflow.
+            mid = (low >> 1) + (high >> 1) + ((low | high) & 1)
+            inside = (_doubles(mid) - near) / scale <= radius
+            low, high = np.where(inside, mid, low), np.where(inside, high, np.maximum(mid - 1, low))
+        out.append(sign * _doubles(low))
+    return out[0], out[1]
+
+
+def _class_ends(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Ends of the nearest-neighbour intervals of a block of one class's sorted distinct values, its edges taken from the blocks beside it."""
+    pdf = pdf.sort_values("x")
+    kk = int(min(k, pdf["size"].iloc[0] - 1))
+    times = np.minimum(pdf["w"].to_numpy(int), kk + 1)
+    s = np.repeat(pdf["x"].to_numpy(float), times)
+    gaps = np.full((len(s), 2 * kk), np.inf)
+    for j in range(1, min(kk, len(s) - 1) + 1):
+        gaps[j:, 2 * j - 2] = s[j:] - s[:-j]
+        gaps[:-j, 2 * j - 1] = s[j:] - s[:-j]
+    radius = np.nextafter(np.sort(gaps, 1)[np.cumsum(times) - times, kk - 1], 0)
+    own = pdf["own"].to_numpy(bool)
+    pdf, radius = pdf[own], radius[own]
+    low, high = _ends(pdf["x"].to_numpy(float), radius)
+    return pd.DataFrame({"feature": pdf["feature"], "w": pdf["w"], "size": pdf["size"], "kk": kk, "low": low, "high": high})
+
+
+def _digamma_of(n: Column | str) -> Column:
+    @F.pandas_udf("double")
+    def at(n: pd.Series) -> pd.Series:
+        return pd.Series(_digamma(n.to_numpy(float)))
+
+    return at(n)
+
+
+def _count_between(points: DataFrame, keys: list[str], queries: DataFrame) -> DataFrame:
+    """``queries`` (``keys``, ``low``, ``high``) with ``m``, the rows of ``points`` (``keys``, ``v``, ``w`` rows) between the ends, inclusive.
+
+    The ends are put among the values, so that one running count serves them all.
+    """
+    every = points.select(*keys, "v", F.col("w").cast("long").alias("w"))
+    for end in ("low", "high"):
+        every = every.unionByName(queries.select(*keys, F.col(end).alias("v"), F.lit(0).cast("long").alias("w")))
+    ranked = value_counts(every, keys, "v", {"pts": F.col("w")})
+    low = ranked.select(*keys, F.col("v").alias("low"), (F.col("cum_pts") - F.col("pts")).alias("_below"))
+    high = ranked.select(*keys, F.col("v").alias("high"), F.col("cum_pts").alias("_upto"))
+    return queries.join(low, [*keys, "low"]).join(high, [*keys, "high"]).withColumn("m", F.col("_upto") - F.col("_below")).drop("_upto", "_below")
+
+
+def _information_class(long: DataFrame, k: int, block: int = 8192) -> DataFrame:
+    stage = Stage(long.sparkSession, "information")
+    freq = stage.write(long.groupBy("feature", "y", "x").agg(F.count("*").alias("w")))
+    sizes = freq.groupBy("feature", "y").agg(F.sum("w").alias("size")).where("size > 1")
+    freq = freq.join(sizes, ["feature", "y"])
+    placed = value_counts(freq, ["feature", "y"], "x", {"w": F.col("w")}).join(sizes, ["feature", "y"])
+    at = F.col("cum") - 1  # place among the distinct values of the class
+    b, rest = F.floor(at / block), at % block
+    copies = F.array(F.struct(b.alias("b"), F.lit(True).alias("own")), F.when(rest < k, F.struct((b - 1).alias("b"), F.lit(False).alias("own"))), F.when(rest >= block - k, F.struct((b + 1).alias("b"), F.lit(False).alias("own"))))
+    blocks = placed.select("feature", "y", "x", "w", "size", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("c")).select("feature", "y", "x", "w", "size", "c.*")
+    ends = blocks.groupBy("feature", "y", "b").applyInPandas(lambda pdf: _class_ends(pdf, k), "feature string, w long, size long, kk int, low double, high double")
+    ends = stage.write(ends)
+    m = _count_between(freq.select("feature", F.col("x").alias("v"), "w"), ["feature"], ends)
+    w = F.col("w").cast("double")
+    s = m.groupBy("feature").agg(F.sum("w").alias("n"), F.sum(w * (_digamma_of("kk") - _digamma_of("size") - _digamma_of(F.greatest("m", F.lit(1))))).alias("s"))
+    return s.select("feature", F.greatest(F.lit(0.0), _digamma_of("n") + F.col("s") / F.col("n")).alias("mut_info"))
+
+
+def _nearest_in_cell(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """``near``: scaled distances of each asked point's k nearest others in the cell; of fewer if there are fewer."""
+    pdf = pdf.sort_values(["x", "y"])
+    base, asked = pdf[pdf["base"]], pdf[pdf["ask"]]
+    times = np.minimum(base["w"].to_numpy(int), k + 1)
+    bx, by = (np.repeat(base[c].to_numpy(float), times) for c in ("x", "y"))
+    x, y, own, sx, sy = asked["x"].to_numpy(float), asked["y"].to_numpy(float), asked["base"].to_numpy(bool), pdf["sx"].iloc[0], pdf["sy"].iloc[0]
+    near, most = [], min(k + 1, len(bx))
+    for i in range(0, len(x), 512):
+        d = np.maximum(np.abs(x[i : i + 512, None] - bx) / sx, np.abs(y[i : i + 512, None] - by) / sy)
+        d = np.sort(np.partition(d, most - 1, axis=1)[:, :most], axis=1) if most else d
+        # A point of the cell finds itself first.
+        near += [r[1 : k + 1].tolist() if o else r[:k].tolist() for r, o in zip(d, own[i : i + 512])]
+    return pd.DataFrame({"feature": asked["feature"], "x": x, "y": y, "w": asked["w"], "sx": sx, "sy": sy, "strip": asked["strip"], "cell": asked["cell"], "near": near})
+
+
+def _axis_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for axis in ("x", "y"):
+            low, high = _ends(pdf[axis].to_numpy(float), np.nextafter(pdf["d"].to_numpy(float), 0), pdf["s" + axis].to_numpy(float))
+            yield pd.DataFrame({"feature": pdf["feature"], "axis": axis, "w": pdf["w"], "low": low, "high": high})
+
+
+def _information_numbers(long: DataFrame, k: int, cell: int = 1024) -> DataFrame:
+    stage = Stage(long.sparkSession, "information")
+    pairs = stage.write(long.groupBy("feature", "x", "y").agg(F.count("*").alias("w")))
+    spread = lambda c: F.when((s := F.coalesce(F.stddev_pop(c), F.lit(0.0))) > 0, s).otherwise(1.0)
+    scales = long.groupBy("feature").agg(F.count("*").alias("n"), spread("x").alias("sx"), spread("y").alias("sy"))
+    most = pairs.groupBy("feature").count().agg(F.max("count")).first()[0] or 0
+    cuts = max(2, math.ceil(math.sqrt(most / cell)))
+    edges = pairs.groupBy("feature").agg(F.percentile_approx("x", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), 10 * cuts + 100).alias("edges"))
+    params = scales.join(edges, "feature")
+    strip_of = lambda v: F.aggregate("edges", F.lit(0), lambda a, e: a + (e < v).cast("int"))
+    strips = pairs.join(params.select("feature", "sx", "sy", "edges"), "feature").withColumn("strip", strip_of(F.col("x"))).drop("edges")
+    placed = running_sums(strips, ["feature", "strip"], "y", "x", {})
+    # Cells of a strip differ by one at most and hold less than twice ``cell`` distinct points.
+    own = F.floor((F.col("i") - 1) * F.greatest(F.lit(1), F.floor(F.col("n") / cell)) / F.col("n"))
+    placed = stage.write(placed.withColumn("cell", own.cast("long")).select("feature", "strip", "cell", "x", "y", "w", "sx", "sy"))
+    keys, schema = ["feature", "strip", "cell"], "feature string, x double, y double, w long, sx double, sy double, strip int, cell long, near array<double>"
+    search = lambda d: d.groupBy(*keys).applyInPandas(lambda pdf: _nearest_in_cell(pdf, k), schema)
+    yes, no = F.lit(True), F.lit(False)
+    first = stage.write(search(placed.withColumns({"base": yes, "ask": yes})))
+    # Cells whose box is no farther than the k-th distance so far may hold nearer points.
+    far = F.when(F.size("near") >= k, F.element_at("near", k)).otherwise(float("inf"))
+    boxes = placed.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    q = first.join(edges, "feature").withColumn("d", far).where("d > 0")
+    reach = F.col("d") * F.col("sx") * (1 + 1e-9) + F.abs("x") * 1e-9
+    q = q.withColumn("own", F.struct("strip", "cell")).withColumn("strip", F.explode(F.sequence(strip_of(F.col("x") - reach), strip_of(F.col("x") + reach)))).drop("edges", "cell")
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1")) / F.col(f"s{c}")
+    q = q.join(boxes, ["feature", "strip"]).where((gap("x") < F.col("d")) & (gap("y") < F.col("d")) & ((F.col("own.strip") != F.col("strip")) | (F.col("own.cell") != F.col("cell"))))
+    asked = q.select(*keys, "x", "y", "w", "sx", "sy").withColumns({"base": no, "ask": yes})
+    second = search(placed.withColumns({"base": yes, "ask": no}).unionByName(asked))
+    point = ["feature", "x", "y"]
+    found = first.unionByName(second).groupBy(*point).agg(F.first("w").alias("w"), F.first("sx").alias("sx"), F.first("sy").alias("sy"), F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
+    found = found.where(F.size("near") >= k).select(*point, "w", "sx", "sy", F.element_at("near", k).alias("d"))
+    ends = stage.write(found.mapInPandas(_axis_ends, "feature string, axis string, w long, low double, high double"))
+    values = pairs.select("feature", F.lit("x").alias("axis"), F.col("x").alias("v"), "w").unionByName(pairs.select("feature", F.lit("y").alias("axis"), F.col("y").alias("v"), "w"))
+    m = _count_between(values, ["feature", "axis"], ends)
+    s = m.groupBy("feature").agg(F.sum(F.col("w") * _digamma_of("m")).alias("s"))
+    total = _digamma_of("n") + F.lit(float(_digamma(np.array([k]))[0])) - F.col("s") / F.col("n")
+    return scales.join(s, "feature", "left").select("feature", F.greatest(F.lit(0.0), F.coalesce(total, F.lit(0.0))).alias("mut_info"))
+
+
+def mutual_info(df: DataFrame, id_col: str, columns: Sequence[str], target: str, classify: bool, k: int = 3) -> DataFrame:
+    """``feature``, ``mut_info`` (nats) of continuous features by k nearest neighbours, from all rows with a value and a target.
+
+    Equal values (for a numeric target equal pairs) are counted first. Neighbours of a class's value
+    are found in blocks of its sorted values, edges included; those of a pair in cells of bounded
+    size, then in every other cell that may hold a nearer one. The rows within a radius are counted
+    by running counts. Classes of a single row have no neighbour and are left out. No jitter is
+    added, so the result is the same each time; ``id_col`` has no influence.
     """
-    base = df.where(F.col(target).isNotNull())
-    strata = [target] if classify else []
-    slim = base.select(F.col(id_col).alias("_id"), F.col(target).alias("_y"), *columns)
-    placed = hashed_positions(slim, ["_y"] if strata else [], seed, "_id")
-    total = base.count()
-    share = F.ceil(F.col("pos_of") * F.lit(min(1.0, rows / max(1, total))))
-    some = placed.where(F.col("pos") <= (share if classify else F.lit(rows)))
-    long = melt(some, columns, {"y": F.col("_y").cast("string" if classify else "double")}).where("x IS NOT NULL AND y IS NOT NULL")
-
-    def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["x"].to_numpy(float)
-        mi = _mi_class(x, pdf["y"].to_numpy(str), k) if classify else _mi_numbers(x, pdf["y"].to_numpy(float), k)
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "mut_info": [mi]})
-
-    return long.groupBy("feature").applyInPandas(estimate, "feature string, mut_info double")
+    y = F.col(f"`{target}`").cast("string" if classify else "double")
+    long = melt(df, columns, {"y": y}).where("x IS NOT NULL AND y IS NOT NULL")
+    return _information_class(long, k) if classify else _information_numbers(long.where("NOT isnan(y)"), k)
 
 
 def tidy(table: DataFrame, by: str = "mut_info") -> DataFrame:

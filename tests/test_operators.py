@@ -127,6 +127,44 @@ def test_mutual_information_finds_dependence(spark, seed):
     assert n["x"] > 1.0 > 0.2 > n["noise"]
 
 
+def information(x, y, classify, k=3):
+    """Mutual information of all rows by the full matrices of distances."""
+    psi = lambda v: float(np.mean(associate._digamma(np.asarray(v, float))))
+    if classify:
+        sizes = {c: int((y == c).sum()) for c in set(y)}
+        keep = np.array([sizes[c] > 1 for c in y])
+        x, y = x[keep], y[keep]
+    dx = np.abs(x[:, None] - x) / (1.0 if classify else x.std())
+    if not classify:
+        dy = np.abs(y[:, None] - y) / y.std()
+        r = np.nextafter(np.partition(np.maximum(dx, dy), k, 1)[:, k], 0)[:, None]
+        return max(0.0, psi([len(x)]) + psi([k]) - psi((dx <= r).sum(1)) - psi((dy <= r).sum(1)))
+    ks = np.array([min(k, sizes[c] - 1) for c in y])
+    own = np.sort(np.where(y[:, None] == y, dx, np.inf), 1)
+    r = np.nextafter(own[np.arange(len(x)), ks], 0)[:, None]
+    return max(0.0, psi([len(x)]) + psi(ks) - psi([sizes[c] for c in y]) - psi((dx <= r).sum(1)))
+
+
+def test_mutual_information_of_all_rows(spark):
+    r = np.random.default_rng(5)
+    n = 2000
+    x = r.normal(size=n)
+    pdf = pd.DataFrame({"i": np.arange(n), "x": x, "cents": np.round(64 * x * x) / 64, "skew": np.where(r.random(n) < 0.6, 0.0, np.exp(3 * r.normal(size=n)))})
+    pdf["y"] = np.where(np.arange(n) == 7, "single", np.where(r.random(n) < 0.002, "rare", np.where(np.abs(x) > 0.7, "a", "b")))
+    pdf["z"] = np.abs(x) + np.round(r.normal(size=n), 2)
+    df, names = spark.createDataFrame(pdf), ["x", "cents", "skew"]
+    own = {f: pdf[f].to_numpy() for f in names}
+    c = {t.feature: t.mut_info for t in associate.mutual_info(df, "i", names, "y", True).collect()}
+    assert c == pytest.approx({f: information(v, pdf.y.to_numpy(str), True) for f, v in own.items()}, abs=1e-9)
+    small = associate._information_class(associate.melt(df, names, {"y": df.y}), 3, 8)  # blocks of 8 values
+    assert {t.feature: t.mut_info for t in small.collect()} == pytest.approx(c, abs=1e-9)
+    wanted = {f: information(v, pdf.z.to_numpy(), False) for f, v in own.items()}
+    d = {t.feature: t.mut_info for t in associate.mutual_info(df, "i", names, "z", False).collect()}
+    assert d == pytest.approx(wanted, abs=1e-9)
+    small = associate._information_numbers(associate.melt(df, names, {"y": df.z}), 3, 16)  # cells of 16 pairs
+    assert {t.feature: t.mut_info for t in small.collect()} == pytest.approx(d, abs=1e-9)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_confusion_scores(spark, seed):
     r = np.random.default_rng(seed)
