@@ -382,6 +382,46 @@ def mutual_info(df: DataFrame, id_col: str, columns: Sequence[str], target: str,
     return _information_class(long, k) if classify else _information_numbers(long.where("NOT isnan(y)"), k)
 
 
+def cont_class_information(df: DataFrame, columns: Sequence[str], target: str, k: int = 3) -> DataFrame:
+    """``feature``, ``level``, ``mut_info`` of continuous features: each class against all others, and all classes (null level)."""
+    long = melt(df, columns, {"y": F.col(f"`{target}`").cast("string")}).where("x IS NOT NULL AND y IS NOT NULL")
+    classes = long.select(F.col("y").alias("level")).distinct()
+    one = long.join(F.broadcast(classes), F.lit(True)).select(F.concat(F.lit("1"), "level", F.lit("\0"), "feature").alias("feature"), (F.col("y") == F.col("level")).cast("string").alias("y"), "x")
+    every = one.unionByName(long.select(F.concat(F.lit("0\0"), "feature").alias("feature"), "y", "x"))
+    at = F.instr("feature", "\0")
+    level = F.when(F.col("feature").startswith("1"), F.substring("feature", F.lit(2), at - 2))
+    return _information_class(every, k).select(F.substring("feature", at + 1, F.length("feature")).alias("feature"), level.alias("level"), "mut_info")
+
+
+def cat_cont(df: DataFrame, columns: Sequence[str], target: str, k: int = 3) -> DataFrame:
+    """``feature``, ``mut_info``, ``H``, ``H_p`` of categorical features against a numeric target; missing cells are the level ``nan``."""
+    long = melt(df, columns, {"x": F.col(f"`{target}`").cast("double")}, cast="string", value="y").where("x IS NOT NULL AND NOT isnan(x)")
+    info = _information_class(long.select("feature", F.coalesce("y", F.lit("nan")).alias("y"), "x"), k)
+    return kruskal(df, columns, target).join(info, "feature", "left").select("feature", F.coalesce("mut_info", F.lit(0.0)).alias("mut_info"), "H", "H_p")
+
+
+def associations(df: DataFrame, continuous: Sequence[str], categorical: Sequence[str], target: str, classify: bool) -> DataFrame:
+    """All statistics of both kinds of features in one table: ``feature``, ``kind``, for a class target ``level``, and a column a statistic.
+
+    A statistic that a kind doesn't have is null.
+    """
+    out = []
+    if continuous and classify:
+        info = cont_class_information(df, continuous, target)
+        t = cont_class(df, continuous, target).withColumnsRenamed({"feature": "_f", "level": "_l"})
+        t = info.join(t, (F.col("feature") == F.col("_f")) & F.col("level").eqNullSafe(F.col("_l")), "full")
+        out.append(t.withColumns({"feature": F.coalesce("feature", "_f"), "level": F.coalesce("level", "_l")}).drop("_f", "_l"))
+    elif continuous:
+        out.append(cont_cont(df, continuous, target).join(mutual_info(df, "", continuous, target, False), "feature", "left"))
+    if continuous:
+        out[0] = out[0].withColumn("kind", F.lit("cont"))
+    if categorical:
+        out.append((cat_class if classify else cat_cont)(df, categorical, target).withColumn("kind", F.lit("cat")))
+    table = out[0] if len(out) == 1 else out[0].unionByName(out[1], allowMissingColumns=True)
+    first = ["feature", "kind", *(["level"] if classify else [])]
+    return table.select(*first, *[c for c in table.columns if c not in first])
+
+
 def tidy(table: DataFrame, by: str = "mut_info") -> DataFrame:
     """For reports: values of 1e-10 or less become 0, the strongest first."""
     numbers = [c for c, t in table.dtypes if t == "double"]

@@ -59,31 +59,24 @@ def load(spark: SparkSession, options: Options) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def _associations(p: P.Prepared, target: str, classify: bool) -> DataFrame:
-    """The default statistic of each feature: ``feature``, ``kind``, ``score``, ``p``."""
-    out = []
+def _associations(p: P.Prepared, target: str, classify: bool, o: Options) -> DataFrame:
+    """All statistics of each feature, with ``score``, the one that the options choose for its kind."""
     raw = [f"{c}_raw" for c in (p.one_hot.levels if p.one_hot else {})]
-    if p.continuous:
-        if classify:
-            t = A.cont_class(p.df, p.continuous, target).groupBy("feature").agg(F.max("AUROC").alias("score"), F.min("U_p").alias("p"))
-        else:
-            t = A.cont_cont(p.df, p.continuous, target).select("feature", F.abs("pearson_r").alias("score"), F.col("pearson_p").alias("p"))
-        out.append(t.withColumn("kind", F.lit("cont")))
-    if raw:
-        if classify:
-            t = A.cat_class(p.df, raw, target).where("level IS NULL").select("feature", F.col("mut_info").alias("score"), F.lit(None).cast("double").alias("p"))
-        else:
-            t = A.kruskal(p.df, raw, target).select("feature", F.col("H").alias("score"), F.col("H_p").alias("p"))
-        out.append(t.withColumn("feature", F.regexp_replace("feature", "_raw$", "")).withColumn("kind", F.lit("cat")))
-    return reduce(DataFrame.unionByName, out)
-
-
-def _select(p: P.Prepared, target: str, classify: bool, o: Options) -> dict[str, list[str]]:
+    t = A.associations(p.df, p.continuous, raw, target, classify)
+    metrics = {"cont": o.filter_assoc_cont_classify, "cat": o.filter_assoc_cat_classify} if classify else {"cont": o.filter_assoc_cont_regress, "cat": o.filter_assoc_cat_regress}
+    unknown = [m for kind, m in metrics.items() if (p.continuous if kind == "cont" else raw) and (m not in t.columns or m not in A.HIGHER_IS_BETTER)]
+    if unknown:
+        raise ValueError(f"unknown association: {unknown}")
+    score = F.coalesce(*[F.when(F.col("kind") == kind, F.col(m)) for kind, m in metrics.items() if m in t.columns])
+    return t.withColumns({"feature": F.when(F.col("kind") == "cat", F.regexp_replace("feature", "_raw$", "")).otherwise(F.col("feature")), "score": score})
+
+
+def _select(p: P.Prepared, target: str, classify: bool, o: Options, associations: DataFrame) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {"none": list(p.features)}
     if "filter" in o.feat_select:
         n_cont, n_cat = Q.n_select("cont", len(p.continuous), o.n_filter_cont), Q.n_select("cat", len(p.categorical), o.n_filter_cat)
         if "assoc" in o.filter_method:
-            chosen = Q.by_association(_associations(p, target, classify), "score", n_cont, n_cat).orderBy("kind", "rank").collect()
+            chosen = Q.by_association(associations, "score", n_cont, n_cat).orderBy("kind", "rank").collect()
             out["assoc"] = [c for r in chosen for c in P.columns_of_level(p, r.feature)]
         if "pred" in o.filter_method and p.continuous:
             scores = L.univariate_predictions(p.df, ROW, p.continuous, target, classify)
@@ -138,8 +131,8 @@ def analyse(spark: SparkSession, options: Options, df: DataFrame | None = None)
     performance, aer = [], []
     for target in targets:
         own_p = p.for_target(target) if len(targets) > 1 else p
-        report.tables[f"associations_{target}"] = _associations(own_p, target, classify)
-        chosen = _select(own_p, target, classify, o)
+        associations = report.tables[f"associations_{target}"] = stage.write(_associations(own_p, target, classify, o))
+        chosen = _select(own_p, target, classify, o, associations)
         report.selected |= {f"{target}.{k}": v for k, v in chosen.items()}
         for how, features in chosen.items():
             for split, train, test in _holdout(own_p, target, classify, o, sources):

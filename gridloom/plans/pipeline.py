@@ -90,8 +90,7 @@ def _group_folds(s, d):
 
 
 def _associations(s, d):
-    num = A.cont_class(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag").select("feature", F.lit("cont").alias("kind"), F.col("AUROC").alias("score"))
-    return num
+    return A.associations(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_linestatus", "l_linenumber"], "l_returnflag", True)
 
 
 def _stepwise(s, d, forward=True):
@@ -183,7 +182,7 @@ QUERIES = {
     "grouped_holdout": lambda s, d: X.grouped_holdout(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", "o_orderstatus"),
     "subsample": lambda s, d: X.subsample(_prep(s, d).select("row_id", "target"), "row_id", "target", 600),
     "degenerate_folds": lambda s, d: X.degenerate(_prep(s, d).withColumn("fold", F.coalesce("test_no", F.lit(-1))).where("target IS NOT NULL"), "fold", "target", 10, 200),
-    "filter_association": lambda s, d: F_.by_association(_associations(s, d), "score", 3, 2),
+    "filter_association": lambda s, d: F_.by_association(_associations(s, d), "mut_info", 3, 2),
     "univariate_predictions": lambda s, d: L.univariate_predictions(table(s, d, "prep_rows"), "row_id", NUM, "target", True),
     "filter_prediction": lambda s, d: F_.by_prediction(L.univariate_predictions(table(s, d, "prep_rows"), "row_id", NUM[:-1], "a15", False), "mae", False, 3),
     "dummy_class": lambda s, d: rounded(L.dummy_scores(_prep(s, d), "target", True)),

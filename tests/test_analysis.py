@@ -1,8 +1,11 @@
 import numpy as np
 import pandas as pd
 
+from gridloom.operators import associate as A
+from gridloom.operators import prepare as P
+from gridloom.operators import select as Q
 from gridloom.options import Options
-from gridloom.plans.analysis import analyse
+from gridloom.plans.analysis import _associations, analyse
 
 
 def table(n=300, seed=0):
@@ -29,3 +32,18 @@ def test_numbers(spark):
     assert r.selected["z.wrap"][0] == "x_one"
     r2 = {(x.selection, x.metric): x.value for x in r.tables["performance"].collect()}
     assert r2[("wrap", "r2")] > 0.9
+
+
+def test_association_filter_follows_the_options(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=400)
+    pdf = pd.DataFrame({"bowl": x, "noise": r.normal(size=400), "c": r.choice(["u", "v"], 400), "y": np.where(np.abs(x) > 0.7, 1, 0)})
+    p = P.prepare(spark.createDataFrame(pdf), ["y"], ["bowl", "noise"], ["c"], True)
+    # The classes differ in spread, not in place: information tells, ranks don't.
+    t = _associations(p, "y", True, Options())
+    best = {b.kind: b for b in Q.by_association(t, "score", 1, 1).collect()}
+    assert {k: b.feature for k, b in best.items()} == {"cont": "bowl", "cat": "c"} and best["cont"].score > 0.3
+    assert {"t", "U", "AUROC", "mut_info", "cramer_v", "H"} <= set(t.columns) and {x.level for x in t.where("feature = 'bowl'").collect()} == {None, "0", "1"}
+    n = A.cat_cont(spark.createDataFrame(pdf.assign(c=np.where(x > 0, "u", "v"), d=r.choice(["u", "v"], 400))), ["c", "d"], "bowl")
+    info = {k.feature: k.mut_info for k in n.collect()}
+    assert info["c"] > 0.6 > 0.1 > info["d"]
