@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.ranks import hash_order, quantiles
 from gridloom.operators.adaptive import normalize_proba, softmax
+from gridloom.operators.score import class_scores, regression_scores
 from gridloom.operators.shape import melt
 from gridloom.operators.split import stratified_folds
 
@@ -114,13 +115,24 @@ def univariate_predictions(df: DataFrame, id_col: str, columns: Sequence[str], t
     return long.groupBy("feature").applyInPandas(fit, f"feature string, model string, {metric} double")
 
 
-def _score(predicted: DataFrame, classify: bool) -> float:
-    """Balanced accuracy, or the negative mean absolute error."""
-    if not classify:
+# Metrics of the search, by whether more is better.
+CLASS_METRICS = {m: True for m in ("acc", "bal-acc", "sens", "spec", "ppv", "npv", "f1")}
+NUMBER_METRICS = {"mae": False, "msqe": False, "mdae": False, "r2": True, "var-exp": True}
+
+
+def _score(predicted: DataFrame, classify: bool, metric: str | None = None) -> float:
+    """The metric (balanced accuracy, or the mean absolute error), negative where less is better."""
+    metric = metric or ("bal-acc" if classify else "mae")
+    if metric == "mae":
         v = predicted.agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0]
         return -v if v is not None else float("-inf")
-    per = predicted.groupBy("label").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("r"))
-    return per.agg(F.avg("r")).first()[0] or 0.0
+    if metric == "bal-acc":
+        per = predicted.groupBy("label").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("r"))
+        return per.agg(F.avg("r")).first()[0] or 0.0
+    table = (class_scores if classify else regression_scores)(predicted, [], "label", "prediction").first()
+    v = table[metric.replace("-", "_")] if table else None
+    higher = (CLASS_METRICS if classify else NUMBER_METRICS)[metric]
+    return (0.0 if classify else float("-inf")) if v is None else v if higher else -v
 
 
 @dataclass
@@ -132,12 +144,16 @@ class Tuned:
     trials: list[tuple[dict, float]]
 
 
-def tune(train: DataFrame, family: str, classify: bool, trials: int = 8, folds: int = 3, patience: int = 15, seed: int = 69) -> Tuned:
+def tune(train: DataFrame, family: str, classify: bool, trials: int = 8, folds: int = 3, patience: int = 15, seed: int = 69, metric: str | None = None) -> Tuned:
     """Search of the defaults and seeded random parameters, scored by cross-validation, then a fit on all rows.
 
+    ``metric`` is one of ``CLASS_METRICS`` or ``NUMBER_METRICS``; the grid bounds ``trials``.
+
     ``train``: ``id``, ``features``, ``label``. A trial stops after its first fold if it lies below the
     median of earlier first folds; the search stops after ``patience`` trials without a better one.
     """
+    if metric is not None and metric not in (known := CLASS_METRICS if classify else NUMBER_METRICS):
+        raise ValueError(f"unknown metric: {metric}, not one of {list(known)}")
     f = (CLASSIFIERS if classify else REGRESSORS)[family]
     grid = [dict(zip(f.space, v)) for v in itertools.product(*f.space.values())]
     rest = grid[1:]
@@ -157,7 +173,7 @@ def tune(train: DataFrame, family: str, classify: bool, trials: int = 8, folds:
             scores = []
             for k in range(folds):
                 model = f.build(**p, **extra).fit(folded.where(F.col("fold") != k))
-                scores.append(_score(model.transform(folded.where(F.col("fold") == k)), classify))
+                scores.append(_score(model.transform(folded.where(F.col("fold") == k)), classify, metric))
                 if k == 0:
                     cut = len(firsts) >= 4 and scores[0] < float(np.median(firsts))
                     firsts.append(scores[0])

@@ -138,7 +138,7 @@ def analyse(spark: SparkSession, options: Options, df: DataFrame | None = None)
             for split, train, test in _holdout(own_p, target, classify, o, sources):
                 a, b = (stage.write(L.assemble(part, ROW, features, target)) for part in (train, test))
                 for name in o.classifiers if classify else o.regressors:
-                    t = L.tune(a, name, classify, min(o.htune_trials, 4), 3, seed=o.seed)
+                    t = L.tune(a, name, classify, o.htune_trials, 3, seed=o.seed, metric=o.htune_cls_metric if classify else o.htune_reg_metric)
                     report.tuned[f"{target}.{how}.{split}.{name}"] = {"params": t.params, "score": t.score}
                     predicted = stage.write(L.predict(t.model, b, classify))
                     tags = {"target": F.lit(target), "model": F.lit(name), "selection": F.lit(how), "split": F.lit(split)}

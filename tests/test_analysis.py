@@ -1,10 +1,13 @@
 import numpy as np
 import pandas as pd
+import pytest
 
 from gridloom.operators import associate as A
+from gridloom.operators import models as L
 from gridloom.operators import prepare as P
 from gridloom.operators import select as Q
 from gridloom.options import Options
+from gridloom.plans import analysis
 from gridloom.plans.analysis import _associations, analyse
 
 
@@ -47,3 +50,25 @@ def test_association_filter_follows_the_options(spark):
     n = A.cat_cont(spark.createDataFrame(pdf.assign(c=np.where(x > 0, "u", "v"), d=r.choice(["u", "v"], 400))), ["c", "d"], "bowl")
     info = {k.feature: k.mut_info for k in n.collect()}
     assert info["c"] > 0.6 > 0.1 > info["d"]
+
+
+def test_search_gets_trials_and_metric(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def tune(train, family, classify, trials, folds, **given):
+        raise Seen(trials, given["metric"])
+
+    monkeypatch.setattr(analysis.L, "tune", tune)
+    monkeypatch.setattr(analysis, "_associations", lambda p, *rest: p.df)
+    with pytest.raises(Seen) as seen:
+        analyse(spark, Options(target="z", mode="regress", regressors=["elastic"], feat_select=[], htune_reg_metric="r2"), spark.createDataFrame(table(60).drop(columns="y")))
+    assert seen.value.args == (100, "r2")
+
+
+def test_search_by_another_metric(spark):
+    rows = spark.createDataFrame(table(60)).selectExpr("cast(substr(id, 2) as int) i", "`x one` x", "z")
+    t = L.tune(L.assemble(rows, "i", ["x"], "z"), "elastic", False, 2, 2, metric="r2")
+    assert 0.5 < t.score <= 1 and len(t.trials) == 2
+    with pytest.raises(ValueError):
+        L.tune(rows, "elastic", False, metric="acc")
