@@ -75,6 +75,18 @@ def accumulate(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: S
     return ranked.withColumns({f"_r_{c}": F.col(f"_i_{c}") + F.col(f"_o_{c}") for c in sums}).drop("_b", *[f"{p}{c}" for c in sums for p in ("_i_", "_o_")])
 
 
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Every row with ``name``, the first order column of the row before it in its group; null for the first row."""
+    keys, x = list(keys), order[0]
+    if is_small(df):
+        return df.withColumn(name, F.lag(x).over(W.partitionBy(*_all(keys)).orderBy(*_all(order))))
+    placed = bucketed(df, keys, order)
+    ends = placed.groupBy(*_all(keys), "_b").agg(F.max(x).alias("_hi"))
+    ends = ends.select(*_all(keys), "_b", F.lag("_hi").over(W.partitionBy(*_all(keys)).orderBy("_b")).alias("_before"))
+    inside = placed.withColumn("_in", F.lag(x).over(W.partitionBy(*_all(keys), "_b").orderBy(*_all(order))))
+    return _join(inside, ends, [*keys, "_b"]).withColumn(name, F.coalesce("_in", "_before")).drop("_b", "_in", "_before")
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], x: str, counts: dict[str, Column] | None = None) -> DataFrame:
     """Distinct values of each group with running counts and average ranks.
 

@@ -57,24 +57,24 @@ def differential_entropy(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``feature``, ``entropy`` from order-statistic spacings m = floor(sqrt(n) + 1/2) apart.
 
     Over 1,000 values Vasicek's estimate, over 10 with Ebrahimi's correction, else van Es's. A
-    spacing of zero gives minus infinity. The order statistics are looked up by position, so no
-    window spans a feature.
+    spacing of zero gives minus infinity. The order statistics meet by position, so no window spans
+    a feature.
     """
-    ranked = value_counts(melt(df, columns), ["feature"], "x")
-    sizes = ranked.groupBy("feature").agg(F.max("cum").alias("n")).withColumn("m", F.floor(F.sqrt("n") + 0.5))
-    at = ranked.select("feature", "x", F.explode(F.sequence(F.col("cum") - F.col("n") + 1, F.col("cum"))).alias("i"))
-    rows = at.join(sizes, "feature")
-    low = at.select("feature", F.col("i").alias("i_low"), F.col("x").alias("x_low"))
-    high = at.select("feature", F.col("i").alias("i_high"), F.col("x").alias("x_high"))
+    ranked = value_counts(melt(df, columns), ["feature"], "x").withColumnsRenamed({"n": "k", "total": "n"})
+    ends = ranked.groupBy("feature").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    ranked = ranked.join(ends, "feature").withColumn("m", F.floor(F.sqrt("n") + 0.5))
+    at = ranked.select("feature", "x", "n", "m", "first", "last", F.explode(F.sequence(F.col("cum") - F.col("k") + 1, F.col("cum"))).alias("i"))
     i, n, m = F.col("i"), F.col("n"), F.col("m")
-    # Each interior gap is met once from its lower end; the clipped ends get theirs from the first and last value.
-    spaced = rows.withColumns({"i_low": F.greatest(i - m, F.lit(1)), "i_high": F.least(i + m, n)}).join(low, ["feature", "i_low"]).join(high, ["feature", "i_high"])
-    gap = F.col("x_high") - F.col("x_low")
+    # Each value is the upper end of the gap around the place m below it, its own, and the lower end of the one m above: one aggregate brings them together.
+    roles = F.array(F.struct((i - m).alias("i"), F.lit(1).alias("r")), F.struct(i.alias("i"), F.lit(0).alias("r")), F.struct((i + m).alias("i"), F.lit(-1).alias("r")))
+    roles = at.select("feature", "x", "n", "m", "first", "last", F.explode(roles).alias("p")).select("feature", "x", "n", "m", "first", "last", "p.*").where("i BETWEEN 1 AND n")
+    of = lambda r: F.max(F.when(F.col("r") == r, F.col("x")))
+    spaced = roles.groupBy("feature", "i").agg(*[F.first(c).alias(c) for c in ("n", "m", "first", "last")], of(0).alias("x"), of(1).alias("upper"), of(-1).alias("lower"))
+    gap = F.coalesce("upper", "last") - F.coalesce("lower", "first")
     edge = F.when(i <= m, 1 + (i - 1) / m).when(i >= n - m + 1, 1 + (n - i) / m).otherwise(F.lit(2.0))
     term = F.when(n > 1000, F.log(n / (2.0 * m) * gap)).otherwise(F.log(n / (edge * m) * gap))
-    minus_inf = F.lit(float("-inf"))
-    spaced = spaced.withColumn("t", F.when(gap > 0, term).otherwise(minus_inf))
-    es = F.when(i + m <= n, F.log((n + 1.0) / m * (F.col("x_high") - F.col("x"))))
+    spaced = spaced.withColumn("t", F.when(gap > 0, term).otherwise(float("-inf")))
+    es = F.log((n + 1.0) / m * (F.col("upper") - F.col("x")))
     tail_sum = F.aggregate(F.sequence(F.col("m"), F.col("n")), F.lit(0.0), lambda a, k: a + F.lit(1.0) / k)
     agg = spaced.groupBy("feature", "n", "m").agg(F.avg("t").alias("v"), (F.sum(es) / (F.col("n") - F.col("m"))).alias("e"))
     entropy = F.when(F.col("n") > 10, F.col("v")).otherwise(F.col("e") + tail_sum + F.log("m") - F.log(F.col("n") + 1.0))
@@ -113,11 +113,11 @@ def describe_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.first("k").alias("n_levels"), F.first("nans").alias("nans"), (F.first("nans") / F.first("total")).alias("nan_freq"),
         F.min(f).alias("min_freq"), F.max(f).alias("max_freq"), F.min(F.struct(F.col("count"), F.col("level"))).getField("level").alias("min_name"),
         F.min(F.struct(-F.col("count"), F.col("level"))).getField("level").alias("max_name"),
-        F.sum((f - even) * (f - even) / even).alias("heterog_freq"), (F.first("total") * F.sum((f - even) * (f - even) / even)).alias("heterog"),
+        # Exact; what it holds is the distinct counts, at most the root of twice the rows.
+        (F.percentile("count", F.lit(0.5)) / F.first("total")).alias("med_freq"), F.sum((f - even) * (f - even) / even).alias("heterog_freq"), (F.first("total") * F.sum((f - even) * (f - even) / even)).alias("heterog"),
         (-F.sum(f * F.log(f)) / F.when(F.first("k") > 1, F.log(F.first("k").cast("double")))).alias("n_entropy"),
     )
-    med = quantiles(c.select("feature", f.alias("f")), ["feature"], "f", {"med_freq": 0.5})
-    out = agg.join(med, "feature").withColumn("heterog_p", tails.chi2_upper(F.col("heterog"), (F.col("n_levels") - 1).cast("double")))
+    out = agg.withColumn("heterog_p", tails.chi2_upper(F.col("heterog"), (F.col("n_levels") - 1).cast("double")))
     return out.select("feature", "n_levels", "nans", "nan_freq", "med_freq", "min_freq", "max_freq", "min_name", "max_name", "heterog", "heterog_freq", "heterog_p", "n_entropy")
 
 

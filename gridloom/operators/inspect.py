@@ -7,23 +7,28 @@ a handful of aggregates over its counted values, and the rules then run on the d
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from gridloom.functions.nulls import NAN_STRINGS
+from gridloom.functions.ranks import previous
 from gridloom.operators.shape import melt
 
-# Words in a column's name that speak for a category, and bounds of common scales.
-CATEGORY_WORDS = ("type", "class", "kind", "category", "group", "status", "state", "code", "level", "label", "sex", "gender", "race", "color", "colour", "brand", "country", "region", "city", "method", "grade")
+# What a column's name holds, in lower case, that speaks for a category; the second list needs one of the marks behind it.
+CATEGORY_WORDS = ("type", "kind", "city", "race", "ancestry", "town", "country", "occupation", "relig", "state", "zip", "code", "name", "gender", "sex", "status")
+CATEGORY_VERBS = ("is", "has", "not")
+VERB_MARKS = ("_", " ", "-", ".")
+# Bounds of common scales, and the forms of times.
 SCALE_ENDS = (4, 5, 6, 7, 9, 10, 99, 100)
 DATE_PATTERNS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM-dd'T'HH:mm:ss", "dd-MM-yyyy", "HH:mm:ss", "HH:mm", "dd MMM yyyy", "MMM dd, yyyy")
 
+#: Characters beyond which a cell is counted by its digest.
+LONG = 256
+
 CERTAIN = ("Binary", "BinaryViaNan", "BinaryPlusNan", "CertainCat", "CertainCont", "CertainOrd", "CertainId", "CertainTime", "Const")
 OVERRIDES_USER = (*CERTAIN, "MaybeId", "MaybeTime")
 DROPPED = ("CertainTime", "MaybeTime", "Const", "CertainId", "MaybeId")
@@ -38,30 +43,31 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     distinct whole numbers).
     """
     long = melt(df, columns, cast="string", value="v")
-    missing = F.col("v").isNull() | F.col("v").isin(*NAN_STRINGS)
-    counts = long.groupBy("feature", F.when(~missing, F.col("v")).alias("v")).agg(F.count("*").alias("c"))
     v, c = F.col("v"), F.col("c")
-    is_int, as_float = v.rlike(r"^-?\d+$"), v.try_cast("double")
-    times = F.coalesce(*[F.try_to_timestamp(v, F.lit(p)) for p in DATE_PATTERNS])
-    is_time = ~v.try_cast("double").isNotNull() & times.isNotNull()
+    missing = v.isNull() | v.isin(*NAN_STRINGS)
+    as_float = v.try_cast("double").isNotNull()
+    forms = {
+        "is_int": v.rlike(r"^-?\d+$"), "is_float": as_float, "has_dot": v.contains("."),
+        "is_time": ~as_float & v.rlike(r"\d") & F.coalesce(*[F.try_to_timestamp(v, F.lit(p)) for p in DATE_PATTERNS]).isNotNull(),
+    }
+    # A long cell's form is settled at once, and its digest stands for it; all others are counted first.
+    cells = long.select("feature", F.when(~missing, v).alias("v"))
+    big = F.length(v) > LONG
+    key = F.when(big, F.concat(F.lit("\0"), F.sha2(v, 256))).otherwise(v)
+    counts = cells.groupBy("feature", key.alias("v"), *[F.when(big, f).alias(f"_{k}") for k, f in forms.items()]).agg(F.count("*").alias("c"))
+    counts = counts.select("feature", "v", "c", *[F.coalesce(F.col(f"_{k}"), f).alias(k) for k, f in forms.items()])
+    counts = counts.withColumn("i", F.when(F.col("is_int"), v.try_cast("long")))
+    counts = previous(counts, ["feature"], ["i", "v"], "before").withColumn("d", F.col("i") - F.col("before"))
     here = lambda cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0))
-    base = counts.groupBy("feature").agg(
+    d = F.when(F.col("d") != 0, F.col("d"))  # 7 and 07 are one number
+    out = counts.groupBy("feature").agg(
         F.sum("c").alias("n"), here(v.isNull()).alias("n_null"), F.count("v").alias("n_distinct"), F.max(F.when(v.isNotNull(), c)).alias("max_count"),
-        here(is_int).alias("n_int"), here(as_float.isNotNull()).alias("n_float"), here(is_time).alias("n_time"), here(v.contains(".")).alias("n_dot"),
-        F.count_if(v.isNotNull() & (c < 20)).alias("n_small"),
+        here(F.col("is_int")).alias("n_int"), here(F.col("is_float")).alias("n_float"), here(F.col("is_time")).alias("n_time"), here(F.col("has_dot")).alias("n_dot"),
+        F.count_if(v.isNotNull() & (c < 20)).alias("n_small"), F.min("i").alias("int_min"), F.max("i").alias("int_max"),
+        F.count(d).alias("n_gaps"), F.count_if(d == 1).alias("n_unit_gaps"), F.min(d).alias("gap_min"), F.max(d).alias("gap_max"),
     )
-    whole = counts.where(is_int).select("feature", v.try_cast("long").alias("i")).where("i IS NOT NULL").distinct()
-    # Gaps of whole numbers: neighbours inside blocks of 4,096, and between the ends of neighbouring blocks.
-    blocks = whole.withColumn("b", F.floor(F.col("i") / 4096))
-    inside = blocks.withColumn("d", F.lead("i").over(W.partitionBy("feature", "b").orderBy("i")) - F.col("i")).where("d IS NOT NULL").select("feature", "d", F.lit(1).alias("k"))
-    inside = inside.groupBy("feature", "d").agg(F.sum("k").alias("k"))
-    ends = blocks.groupBy("feature", "b").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-    over = ends.withColumn("d", F.lead("lo").over(W.partitionBy("feature").orderBy("b")) - F.col("hi")).where("d IS NOT NULL").groupBy("feature", "d").agg(F.count("*").alias("k"))
-    gaps = inside.unionByName(over).groupBy("feature").agg(
-        F.sum("k").alias("n_gaps"), F.sum(F.when(F.col("d") == 1, F.col("k")).otherwise(0)).alias("n_unit_gaps"), F.min("d").alias("gap_min"), F.max("d").alias("gap_max")
-    )
-    span = ends.groupBy("feature").agg(F.min("lo").alias("int_min"), F.max("hi").alias("int_max"))
-    return base.join(span, "feature", "left").join(gaps, "feature", "left")
+    some = F.col("n_gaps") > 0
+    return out.withColumns({k: F.when(some, F.col(k)) for k in ("n_unit_gaps", "n_gaps")})
 
 
 @dataclass
@@ -153,8 +159,8 @@ def infer_column(r, kind: T.DataType) -> Inference:
 
 
 def category_name(name: str) -> bool:
-    words = re.split(r"[^a-z0-9]+", name.lower())
-    return any(w in words or name.lower().endswith(w) for w in CATEGORY_WORDS)
+    low = name.lower()
+    return any(w in low for w in CATEGORY_WORDS) or any(v + m in low for v in CATEGORY_VERBS for m in VERB_MARKS)
 
 
 def settle(name: str, found: Inference, r, categoricals: Sequence[str], ordinals: Sequence[str]) -> tuple[str, str, str | None]:

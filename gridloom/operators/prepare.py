@@ -118,8 +118,10 @@ def unusable(df: DataFrame, targets: Sequence[str]) -> list[str]:
     names = [c for c in df.columns if c not in targets]
     if not names:
         return []
-    counts = df.agg(*[F.count_distinct(F.coalesce(q(c).cast("string"), F.lit("nan"))).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    return [c for i, c in enumerate(names) if counts[f"c{i}"] <= 1]
+    # The least and the greatest cell tell whether there is a second value; no distinct values are gathered.
+    cell = {c: F.coalesce(q(c).cast("string"), F.lit("nan")) for c in names}
+    ends = df.agg(*[F.min(cell[c]).eqNullSafe(F.max(cell[c])).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    return [c for i, c in enumerate(names) if ends[f"c{i}"]]
 
 
 @dataclass
