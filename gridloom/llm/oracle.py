@@ -38,6 +38,7 @@ def _agree(c: str) -> str:
 
 
 _FEATURES = ", ".join([*NUMBERS, *[f"CASE WHEN NOT {missing_sql(c)} THEN {plain_sql(c)} END AS {c}" for c in WORDS]])
+_BARE = ", ".join((*NUMBERS, *WORDS))
 _DIFFERS = " + ".join(f"(NOT ({_agree(c)}))::INT" for c in (*NUMBERS, *WORDS))
 # A pair that differs in one feature at most agrees in one of these two sets of words.
 _HALVES = (WORDS[:5], WORDS[5:])
@@ -61,6 +62,10 @@ ORACLE: dict[str, str] = {
     "p2_found": f"{_PAIRS} SELECT least(id_a, id_b) AS row_id_a, greatest(id_a, id_b) AS row_id_b FROM p",
     "p2_overlap": f"""{_PAIRS} SELECT test_no, study, count(*) AS n_pairs, count(*) FILTER (WHERE n = 0) AS n_exact, count(DISTINCT id_b) AS n_test_rows
 FROM p JOIN b ON id_b = row_id GROUP BY test_no, study""",
+    "p2_classes": f"""{_PAIRS}, u AS (SELECT row_id, 'train' AS split, {_BARE} FROM a UNION ALL SELECT row_id, 'test', {_BARE} FROM b),
+k AS (SELECT row_id, min(row_id) OVER w AS class_id, count(*) OVER w AS n_rows, split FROM u WINDOW w AS (PARTITION BY split, {_BARE})),
+l AS (SELECT 'train' AS split, id_a AS row_id, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT 'test', id_b, count(*) FROM p GROUP BY ALL)
+SELECT row_id, split, class_id, n_rows, coalesce(n, 0) AS n_links FROM k LEFT JOIN l USING (row_id, split)""",
     "p3_found": f"SELECT term, 'rare' AS mark FROM ({_TERMS}) WHERE rare UNION ALL SELECT term, 'common' FROM ({_TERMS}) WHERE common",
     "p3_terms": _TERMS,
     "p3_totals": f"""

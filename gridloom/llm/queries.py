@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.labels import plain, plain_or_null
 from gridloom.llm.cutoff import fraction_cutoffs
-from gridloom.llm.overlap import near_pairs
+from gridloom.llm.overlap import Overlap, near_classes
 from gridloom.llm.packing import pack_texts
 from gridloom.llm.pii import find_pii, redact
 from gridloom.llm.splits import entities, grouped_splits, spanning_forest
@@ -26,8 +26,16 @@ def _table(spark: SparkSession, at: str, name: str) -> DataFrame:
 
 
 def _settings(spark: SparkSession, at: str) -> dict[str, float]:
-    """The nine numbers of run_settings."""
-    return {r.setting: r.amount for r in _table(spark, at, "run_settings").limit(100).collect()}
+    """The numbers of run_settings, a table of fixed size; more than 10,000 rows are an error."""
+    return {r.setting: r.amount for r in _fixed(_table(spark, at, "run_settings"), 10_000)}
+
+
+def _fixed(df: DataFrame, most: int) -> list:
+    """All rows of a table of fixed size; raises if there are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows in a table of fixed size")
+    return rows
 
 
 def _best(spark: SparkSession, at: str) -> DataFrame:
@@ -49,24 +57,38 @@ def _side() -> Column:
     return F.when(F.col("ix_train").isNotNull(), F.lit("a")).when(F.col("ix_tests").isNotNull(), F.lit("b"))
 
 
-def _pairs(spark: SparkSession, at: str) -> DataFrame:
+def _overlap(spark: SparkSession, at: str) -> Overlap:
     s = _settings(spark, at)
     words = {c: plain_or_null(c) for c in WORDS}
-    return near_pairs(_table(spark, at, "prep_rows"), "row_id", _side(), NUMBERS, words, s["near_relative_tolerance"], int(s["near_max_differing_features"]))
+    return near_classes(
+        _table(spark, at, "prep_rows"), "row_id", _side(), NUMBERS, words, s["near_relative_tolerance"], int(s["near_max_differing_features"]), keep=["test_no", "study"]
+    )
 
 
 def p2_found(spark: SparkSession, at: str) -> DataFrame:
     ids = (F.col("id_a"), F.col("id_b"))
-    return _pairs(spark, at).select(F.least(*ids).alias("row_id_a"), F.greatest(*ids).alias("row_id_b"))
+    return _overlap(spark, at).expanded().select(F.least(*ids).alias("row_id_a"), F.greatest(*ids).alias("row_id_b"))
 
 
 def p2_overlap(spark: SparkSession, at: str) -> DataFrame:
-    """Pairs, and rows torn into them, per test file and study of the test row."""
-    tests = _table(spark, at, "prep_rows").where("ix_tests IS NOT NULL").select(F.col("row_id").alias("id_b"), "test_no", "study")
-    # Links of a test row are added up before they meet its test file and study.
-    links = _pairs(spark, at).groupBy("id_b").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("n_differing") == 0).alias("n_exact"))
-    report = links.join(tests, "id_b").groupBy("test_no", "study")
-    return report.agg(F.sum("n_pairs").alias("n_pairs"), F.sum("n_exact").alias("n_exact"), F.count("*").alias("n_test_rows"))
+    """Pairs, exact ones, and test rows that have any, per test file and study of the test row; from classes, no pair of rows is made."""
+    o = _overlap(spark, at)
+    links = o.pairs.groupBy("kb1", "kb2").agg(F.sum("n_a").alias("pairs"), F.sum(F.when(F.col("n_differing") == 0, F.col("n_a")).otherwise(0)).alias("exact"))
+    tests = o.members.where("side = 'b'").groupBy("test_no", "study", F.col("k1").alias("kb1"), F.col("k2").alias("kb2")).agg(F.count("*").alias("n"))
+    report = tests.join(links, ["kb1", "kb2"]).groupBy("test_no", "study")
+    return report.agg(F.sum(F.col("n") * F.col("pairs")).alias("n_pairs"), F.sum(F.col("n") * F.col("exact")).alias("n_exact"), F.sum("n").alias("n_test_rows"))
+
+
+def p2_classes(spark: SparkSession, at: str) -> DataFrame:
+    """Each row of a split with its class of equal rows, known by the class's least row on its side, the class's rows, and its linked rows of the other side."""
+    o = _overlap(spark, at)
+    a, b = ["ka1", "ka2"], ["kb1", "kb2"]
+    links = o.pairs.groupBy(*a).agg(F.sum("n_b").alias("n_links")).select(F.lit("a").alias("side"), F.col("ka1").alias("k1"), F.col("ka2").alias("k2"), "n_links")
+    links = links.unionByName(o.pairs.groupBy(*b).agg(F.sum("n_a").alias("n_links")).select(F.lit("b").alias("side"), F.col("kb1").alias("k1"), F.col("kb2").alias("k2"), "n_links"))
+    key = ["side", "k1", "k2"]
+    classes = o.members.groupBy(*key).agg(F.min("id").alias("class_id"), F.count("*").alias("n_rows")).join(links, key, "left")
+    linked = o.members.join(classes, key)
+    return linked.select(F.col("id").alias("row_id"), F.when(F.col("side") == "a", "train").otherwise("test").alias("split"), "class_id", "n_rows", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _terms(spark: SparkSession, at: str) -> DataFrame:
@@ -137,8 +159,8 @@ def p7_containers(spark: SparkSession, at: str) -> DataFrame:
 
 def _names(spark: SparkSession, at: str) -> list[str]:
     """The parts of names known to the project, a table of fixed size."""
-    rows = _table(spark, at, "name_parts").where("name_part IS NOT NULL").select("name_part", "part_kind").limit(100_000)
-    return [(r.name_part, r.part_kind) for r in rows.collect()]
+    rows = _table(spark, at, "name_parts").where("name_part IS NOT NULL").select("name_part", "part_kind")
+    return [(r.name_part, r.part_kind) for r in _fixed(rows, 1_000_000)]
 
 
 def p8_found(spark: SparkSession, at: str) -> DataFrame:
@@ -152,7 +174,7 @@ def p8_redacted(spark: SparkSession, at: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_best, p2_found, p2_overlap, p3_found, p3_terms, p3_totals, p4_found, p4_cutoffs,
+        p1_found, p1_best, p2_found, p2_overlap, p2_classes, p3_found, p3_terms, p3_totals, p4_found, p4_cutoffs,
         p5_found, p5_splits, p6_ids, p7_containers, p8_found, p8_redacted,
     )
 }

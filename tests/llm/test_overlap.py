@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.labels import MISSING_LABELS, plain_or_null
-from gridloom.llm.overlap import interleave, near_pairs
+from gridloom.llm.overlap import interleave, near_classes, near_pairs
 
 NUM, TXT = ["n1", "n2", "n3"], ["w1", "w2", "w3", "w4"]
 SCHEMA = "id long, s string, " + ", ".join(f"{c} double" for c in NUM) + ", " + ", ".join(f"{c} string" for c in TXT) + ", band string, bucket string"
@@ -83,3 +83,16 @@ def test_edge_cases(spark):
 def test_bands_hold_every_feature_once():
     a, b = interleave(["n0", "n1", "n2", "n3", "n4"], [f"w{i}" for i in range(10)])
     assert sorted(a + b) == sorted([f"n{i}" for i in range(5)] + [f"w{i}" for i in range(10)]) and abs(len(a) - len(b)) <= 1
+
+
+def test_copies_are_compared_once(spark):
+    """120 equal rows on either side are one pair of classes, however often the pair shares a bucket."""
+    rows = [(i, "ab"[i % 2], 1.0, 2.0, 3.0, "x", "y", "z", "u", "", "") for i in range(240)] + [(1000, "b", 1.0, 2.0, 9.0, "x", "y", "z", "u", "", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    o = near_classes(df, "id", F.col("s"), NUM, {c: F.col(c) for c in TXT}, 0.005, 1, hot_pairs=0, keep=["bucket"])
+    pairs = o.pairs.collect()
+    assert sorted((p.n_a, p.n_b, p.n_differing) for p in pairs) == [(120, 1, 1), (120, 120, 0)]
+    assert o.members.count() == 241 and "bucket" in o.members.columns
+    for chunk in (7, 1 << 14):
+        got = {(r.id_a, r.id_b) for r in o.expanded(chunk).collect()}
+        assert len(got) == 120 * 121 and o.expanded(chunk).count() == len(got)
