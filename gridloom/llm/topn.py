@@ -1,14 +1,16 @@
 """Top N items within every group by simultaneous per-group bisection.
 
-Each row gets an order-preserving code of three or more 64-bit words: the scores in order of
-importance, then the identifier; a larger code is a better row. All groups of a block are refined
-at once: every group has a cutoff interval, counts its rows above the midpoint, and keeps either
-the upper side (too many rows) or accepts it whole and goes on below, until it holds exactly N.
-A group whose rows tie on a word goes on with the next word; the identifier decides at last.
-
-Blocks are bisected where they are read, so that at most N rows of a group leave a block; only
-these are shuffled by group, and bisected again while they stream by in group order. A group of
-any size therefore costs a task no more memory than one block plus N rows.
+Each row gets an order-preserving code of several 64-bit words: the scores in order of importance,
+then the identifier; a larger code is a better row. All groups of a block are refined at once:
+every group has a cutoff interval, counts its rows above the midpoint, and keeps either the upper
+side (too many rows) or accepts it whole and goes on below, until it holds exactly N. A group whose
+rows tie on a word goes on with the next word; the identifier decides at last. Only the survivors
+are sorted; where repeated rows are found among them, the group's search goes on below them.
+
+Blocks are bisected where they are read, and a task's survivors are carried into its next block as
+long as they leave room, so at most N rows of a large group leave a task; only these are shuffled by
+group, and bisected again while they stream by in group order. A group of any size therefore costs a
+task no more memory than one block plus N rows.
 """
 
 from __future__ import annotations
@@ -24,23 +26,24 @@ from pyspark.sql import types as T
 BLOCK_ROWS = 1 << 18
 
 
-def _word(column: pa.ChunkedArray, best: str) -> np.ndarray:
-    """Unsigned words in the order of the values, the best largest; null and NaN are 0, below all values."""
+def _words(column: pa.ChunkedArray, best: str, nulls: bool = True) -> list[np.ndarray]:
+    """Unsigned words in the order of the values, the best largest; null and NaN lie below all values.
+
+    No floating value but NaN has the word 0, so null takes it; whole numbers use every word and get
+    a word of their own before, 1 where there is a value.
+    """
     null = column.is_null(nan_is_null=True).to_numpy()
-    if pa.types.is_floating(column.type):
-        x = column.fill_null(0.0).to_numpy().astype(np.float64) + 0.0
-        bits = x.view(np.uint64)
-        sign = np.uint64(1) << np.uint64(63)
+    sign = np.uint64(1) << np.uint64(63)
+    floating = pa.types.is_floating(column.type)
+    if floating:
+        bits = (column.fill_null(0.0).to_numpy().astype(np.float64) + 0.0).view(np.uint64)
         up = np.where(bits & sign, ~bits, bits | sign)
     else:
-        x = column.fill_null(0).to_numpy().astype(np.int64)
-        up = x.view(np.uint64) ^ (np.uint64(1) << np.uint64(63))
+        up = column.fill_null(0).to_numpy().astype(np.int64).view(np.uint64) ^ sign
     if best == "asc":
         up = ~up
-    # No value may share the word of null: the two lowest words are made one.
-    up = np.maximum(up, np.uint64(1))
     up[null] = 0
-    return up
+    return [up] if floating or not nulls else [(~null).astype(np.uint64), up]
 
 
 def _groups(table: pa.Table, n_keys: int) -> np.ndarray:
@@ -54,25 +57,12 @@ def _groups(table: pa.Table, n_keys: int) -> np.ndarray:
     return gid
 
 
-def bisect_groups(gid: np.ndarray, words: Sequence[np.ndarray], n: int) -> np.ndarray:
-    """Row numbers of the n best rows of each group, in group order.
-
-    ``words``: unsigned, most important first; the last identifies a row within its group. Rows
-    alike in group and all words count once.
-    """
-    order = np.lexsort((*words[:-1], words[-1], gid))  # rows alike become neighbours
-    g = gid[order]
-    if len(order) == 0 or n < 1:
-        return order[:0]
-    same = g[1:] == g[:-1]
-    for w in words:
-        v = w[order]
-        same &= v[1:] == v[:-1]
-    rows = order[np.r_[True, ~same]]
+def _cut(rows: np.ndarray, gid: np.ndarray, words: Sequence[np.ndarray], want: np.ndarray) -> np.ndarray:
+    """Of ``rows`` (ordered by group), the ``want[group]`` best of each group, repeats counted."""
     kept = []
     g = gid[rows]
     starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    need = np.full(len(starts), n, np.int64)
+    need = want[g[starts]]
     level = np.zeros(len(starts), np.int64)
     code = words[0][rows]
     while len(rows):
@@ -80,12 +70,17 @@ def bisect_groups(gid: np.ndarray, words: Sequence[np.ndarray], n: int) -> np.nd
         whole = size <= need
         low, high = np.minimum.reduceat(code, starts), np.maximum.reduceat(code, starts)
         tied = ~whole & (low == high)
+        last = tied & (level == len(words) - 1)  # one row, delivered many times
+        tied &= ~last
         mid = low + ((high - low) >> np.uint64(1)) + np.uint64(1)
         above = code >= np.repeat(mid, size)
         count = np.add.reduceat(above, starts, dtype=np.int64)
-        over = ~whole & ~tied & (count > need)
-        under = ~whole & ~tied & ~over
+        open_ = ~whole & ~tied & ~last
+        over = open_ & (count > need)
+        under = open_ & ~over
         accept = np.repeat(whole, size) | (np.repeat(under, size) & above)
+        accept[starts[last]] = True
+        accept[starts[last & (need > 1)] + 1] = True  # a second one shows that the search has to go on below
         stay = np.where(np.repeat(over, size), above, np.repeat(under, size) & ~above) | np.repeat(tied, size)
         need = need - np.where(under, count, 0)
         stay &= np.repeat(need > 0, size)
@@ -101,8 +96,45 @@ def bisect_groups(gid: np.ndarray, words: Sequence[np.ndarray], n: int) -> np.nd
         rows, code = rows[stay], code[stay]
         starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, np.int64)
         need, level = need[which[starts]], level[which[starts]]
-    kept = np.concatenate(kept)
-    return kept[np.argsort(gid[kept], kind="stable")]
+    return np.concatenate(kept)
+
+
+def bisect_groups(gid: np.ndarray, words: Sequence[np.ndarray], n: int) -> np.ndarray:
+    """Row numbers of the n best rows of each group, in group order, worst first within a group.
+
+    ``gid``: group numbers from 0; ``words``: unsigned, most important first; the last identifies a
+    row within its group. Rows alike in group and all words count once.
+    """
+    rows = np.argsort(gid, kind="stable")
+    if len(rows) == 0 or n < 1:
+        return rows[:0]
+    need = np.full(int(gid.max()) + 1, n, np.int64)
+    out = []
+    while len(rows):
+        kept = _cut(rows, gid, words, need)
+        kept = kept[np.lexsort((*reversed([w[kept] for w in words]), gid[kept]))]
+        g = gid[kept]
+        first = np.r_[True, g[1:] != g[:-1]]
+        new = first.copy()
+        for w in words:
+            v = w[kept]
+            new[1:] |= v[1:] != v[:-1]
+        out.append(kept[new])
+        repeats = np.bincount(g[~new], minlength=len(need))
+        need -= np.bincount(g[new], minlength=len(need))
+        # Groups that lost repeats search on, below the worst row they have.
+        on = (repeats > 0) & (need > 0)
+        if not on.any():
+            break
+        worst = np.zeros(len(need), np.int64)
+        worst[g[first]] = kept[first]
+        rest = np.ones(len(gid), bool)
+        rest[kept] = False
+        rows = rows[on[gid[rows]] & rest[rows]]
+        w0 = worst[gid[rows]]
+        rows = rows[~np.logical_and.reduce([w[rows] == w[w0] for w in words])]
+    kept = np.concatenate(out)
+    return kept[np.lexsort((*reversed([w[kept] for w in words]), gid[kept]))] if len(out) > 1 else kept
 
 
 def top_n_per_group(
@@ -126,23 +158,26 @@ def top_n_per_group(
 
     def pick(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         gid = _groups(table, n_keys)
-        words = [_word(table.column(n_keys + i), how) for i, how in enumerate(best)]
+        words = [w for i, how in enumerate(best) for w in _words(table.column(n_keys + i), how, i < len(best) - 1)]
         return bisect_groups(gid, words, n), gid, words
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def best_of(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
             table = pa.Table.from_batches(held)
-            yield from table.take(np.sort(pick(table)[0])).combine_chunks().to_batches()
+            return table.take(np.sort(pick(table)[0])).combine_chunks().to_batches()
 
         held, rows = [], 0
         for b in batches:
             held.append(b)
             rows += b.num_rows
             if rows >= block_rows:
-                yield from flush(held)
-                held, rows = [], 0
+                held = best_of(held)
+                rows = sum(x.num_rows for x in held)
+                if rows > block_rows // 2:  # very many groups: little is gained by holding them
+                    yield from held
+                    held, rows = [], 0
         if rows:
-            yield from flush(held)
+            yield from best_of(held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[pa.RecordBatch], last: bool) -> tuple[list[pa.RecordBatch], pa.Table | None]:
@@ -176,6 +211,8 @@ def top_n_per_group(
 
     best_of_blocks = slim.mapInArrow(blocks, slim.schema)
     by_key = [F.col(x) for x in names[:n_keys]]
+    if not by_key and n > 0:  # one group: the survivors of all tasks are cut down by many tasks before one sees them
+        best_of_blocks = best_of_blocks.repartition("id").mapInArrow(blocks, slim.schema)
     routed = best_of_blocks.repartition(*by_key) if by_key else best_of_blocks.repartition(1)
     routed = routed.sortWithinPartitions(*by_key) if by_key else routed
     out = routed.mapInArrow(merge, T.StructType([*slim.schema.fields, T.StructField("rank", T.IntegerType())]))

@@ -84,3 +84,14 @@ def test_found_query(spark, data, duck):
         assert_same(QUERIES[name](spark, data), duck.sql(ORACLE[name]))
 
 
+
+
+def test_lowest_words_and_repeats(spark):
+    """The largest identifiers and the least whole numbers keep their own words; repeats never push rows out."""
+    top = 2**63 - 1
+    rows = [("g", 0, 0.5, 0.1, top), ("g", 0, 0.5, 0.1, top - 1), *[("g", 0, 0.5, 0.1, 3)] * 40, *[("g", 0, 0.5, 0.1, 4)] * 30]
+    assert run(spark, rows, 4) == brute(rows, 4) and len(run(spark, rows, 4)) == 4
+    whole = spark.createDataFrame([("g", -top - 1, 1), ("g", -top, 2), ("g", None, 3), ("g", top, 4)], "g string, s long, id long")
+    assert [r.id for r in top_n_per_group(whole, ["g"], [("s", "desc")], "id", 9).orderBy("rank").collect()] == [4, 2, 1, 3]
+    assert [r.id for r in top_n_per_group(whole, ["g"], [("s", "asc")], "id", 9).orderBy("rank").collect()] == [1, 2, 4, 3]
+    assert [r.id for r in top_n_per_group(whole, [], [("s", "asc")], "id", 2, block_rows=1).orderBy("rank").collect()] == [1, 2]
