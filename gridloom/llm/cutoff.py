@@ -1,16 +1,19 @@
 """Score cutoffs that keep a target fraction of every source, by multi-sequence selection.
 
-Records are hashed into blocks; a block holds, for every source, its scores as a sorted array,
-stored once in the shared folder. The cutoff of a source is the k-th largest of its scores. Each
-round takes pivots from the source's longest remaining range, ranks them in every block's array by
-``searchsorted``, adds the ranks over the blocks, and narrows the source's range to the gap between
-two neighbouring pivots, until a pivot is the k-th itself. Only pivots and ranks travel; a hot
-source is spread over all blocks, and no task sees more than a block of it.
+The records of a source are hashed into as many blocks as its own count asks for; a block's scores
+are a sorted array, stored once in the shared folder. The cutoff of a source is the k-th largest of
+its scores. Each round takes pivots from the source's longest remaining array, ranks them in every
+array by ``searchsorted``, adds the ranks over the blocks, and narrows the arrays to the gap between
+two neighbouring pivots, until a pivot is the k-th itself. What is left of the arrays is written
+anew, so a later round reads a small part of what the one before it read. Only pivots and
+ranks travel; a hot source is spread over its blocks, and no task sees more than a block of it.
+Sources are treated in waves of a bounded number, so that what is broadcast is bounded too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +22,11 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.durable import Stage
 
-PIVOTS = 16
+PIVOTS = 64
 BLOCK_ROWS = 1 << 18
-
-_RANGE = "source string, low double, high double, k long"
-
-
-def _inside(scores: np.ndarray, low: float, high: float) -> tuple[int, int]:
-    """Index range of the scores strictly between low and high."""
-    return int(np.searchsorted(scores, low, "right")), int(np.searchsorted(scores, high, "left"))
+#: Sources of a wave, and the bytes of a table with a row a source up to which it is broadcast.
+WAVE = 1 << 16
+BROADCAST = 1 << 26
 
 
 def _rows(batch: pa.RecordBatch, *names: str):
@@ -41,84 +40,103 @@ def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Evenly spaced scores of each block's remaining range, with the range's length."""
+    """Evenly spaced scores of each array, with its length."""
     for b in batches:
         out = []
-        for (source, low, high), scores in zip(_rows(b, "source", "low", "high"), _arrays(b)):
-            i, j = _inside(scores, low, high)
-            if i < j:
-                at = np.unique(np.linspace(i, j - 1, min(PIVOTS, j - i)).round().astype(int))
-                out.append((source, j - i, np.unique(scores[at]).tolist()))
+        for (source,), scores in zip(_rows(b, "source"), _arrays(b)):
+            at = np.unique(np.linspace(0, len(scores) - 1, min(PIVOTS, len(scores))).round().astype(int))
+            out.append((source, len(scores), np.unique(scores[at]).tolist()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.int64(), pa.list_(pa.float64())))], ["source", "size", "pivots"])
 
 
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of a task's scores lie inside the range above, and at or above, each pivot of a source."""
-    total: dict[tuple[str, float], np.ndarray] = {}
+    """How many of a task's scores lie above, and at or above, each pivot of a source."""
+    total: dict[str, tuple[list[float], np.ndarray]] = {}
+
+    def ranked() -> pa.RecordBatch:
+        sizes = [len(p) for p, _ in total.values()]
+        source = pa.array(list(total), pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        pivot = np.concatenate([p for p, _ in total.values()])
+        counts = np.hstack([c for _, c in total.values()])
+        return pa.RecordBatch.from_arrays([source, pa.array(pivot, pa.float64()), pa.array(counts[0]), pa.array(counts[1])], ["source", "pivot", "above", "least"])
+
     for b in batches:
-        for (source, low, high, pivots), scores in zip(_rows(b, "source", "low", "high", "pivots"), _arrays(b)):
-            j = _inside(scores, low, high)[1]
-            above, least = j - np.searchsorted(scores, pivots, "right"), j - np.searchsorted(scores, pivots, "left")
-            for p, x, y in zip(pivots, np.maximum(above, 0).tolist(), np.maximum(least, 0).tolist()):
-                t = total.setdefault((source, p), np.zeros(2, np.int64))
-                t += (x, y)
-        if len(total) > 1 << 18:
-            yield _ranked(total)
+        for (source, pivots), scores in zip(_rows(b, "source", "pivots"), _arrays(b)):
+            counts = len(scores) - np.stack([np.searchsorted(scores, pivots, "right"), np.searchsorted(scores, pivots, "left")])
+            if source in total:
+                total[source][1][:] += counts
+            else:
+                total[source] = (pivots, counts)
+        if len(total) > 1 << 14:
+            yield ranked()
             total = {}
     if total:
-        yield _ranked(total)
+        yield ranked()
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scores strictly between low and high of each array; arrays without any are gone."""
+    for b in batches:
+        out = [(s, x[np.searchsorted(x, low, "right") : np.searchsorted(x, high, "left")]) for (s, low, high), x in zip(_rows(b, "source", "low", "high"), _arrays(b))]
+        out = [(s, x) for s, x in out if len(x)]
+        if out:
+            ends = np.r_[0, np.cumsum([len(x) for _, x in out])]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x for _, x in out])))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.string()), lists], ["source", "scores"])
 
 
-def _ranked(total: dict) -> pa.RecordBatch:
-    keys, values = zip(*total), np.array(list(total.values()))
-    s, p = keys
-    return pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(p, pa.float64()), pa.array(values[:, 0]), pa.array(values[:, 1])], ["source", "pivot", "above", "least"])
+def sized_broadcast(table: DataFrame) -> DataFrame:
+    """A stored table with a column ``source``, to be broadcast if its counted size is within ``BROADCAST``; else the planner decides."""
+    size = table.agg(F.coalesce(F.sum(F.octet_length("source") + F.lit(64 + 8 * PIVOTS)), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= BROADCAST else table
 
 
-def kth_largest(scores: DataFrame, targets: DataFrame, n_blocks: int) -> DataFrame:
+def kth_largest(scores: DataFrame, targets: DataFrame, block_rows: int = BLOCK_ROWS, wave: int = WAVE) -> DataFrame:
     """The k-th largest score of each source: ``source``, ``threshold``.
 
     ``scores``: ``source`` string, ``score`` double (no null or NaN), ``id`` long, one row a record.
-    ``targets``: ``source``, ``k`` from 1 to the number of the source's scores. Sources of only one
-    of the two are left out.
+    ``targets``: ``source``, ``n`` (its scores), ``k`` from 1 to n. Sources of only one of the two are
+    left out.
     """
     stage = Stage(scores.sparkSession, "cutoff")
+    waves = max(1, -(-targets.count() // wave))
+    found, arrays, ranges = [], None, None
     inf = float("inf")
-    wanted = scores.join(targets.select("source"), "source", "left_semi")
-    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")
-    arrays = stage.write(wanted.groupBy("source", block).agg(F.sort_array(F.collect_list("score")).alias("scores")).drop("block"))
-    ranges = stage.write(targets.select("source", F.lit(-inf).alias("low"), F.lit(inf).alias("high"), F.col("k").cast("long").alias("k")))
-    found = []
-    while True:
-        narrowed = arrays.join(ranges, "source")
-        proposed = narrowed.mapInArrow(_propose, "source string, size long, pivots array<double>")
-        pivots = stage.write(proposed.groupBy("source").agg(F.max_by("pivots", F.struct("size", "pivots")).alias("pivots")))
-        ranked = narrowed.drop("k").join(pivots, "source").mapInArrow(_rank, "source string, pivot double, above long, least long")
-        ranked = ranked.groupBy("source", "pivot").agg(F.sum("above").alias("above"), F.sum("least").alias("least"))
-        # above < k <= least: the pivot is the k-th. Else it bounds the range from above (least < k) or from below (above >= k).
-        hit, over = (F.col("above") < F.col("k")) & (F.col("k") <= F.col("least")), F.col("least") < F.col("k")
-        step = ranked.join(ranges, "source").groupBy("source").agg(
-            F.max(F.when(hit, F.col("pivot"))).alias("threshold"),
-            F.coalesce(F.max(F.when(~hit & ~over, F.col("pivot"))), F.first("low")).alias("low"),
-            F.coalesce(F.min(F.when(over, F.col("pivot"))), F.first("high")).alias("high"),
-            (F.first("k") - F.coalesce(F.max(F.when(over, F.col("least"))), F.lit(0))).alias("k"),
-        )
-        step = stage.write(step)
-        stage.drop(pivots, ranges)
-        found.append(step.where("threshold IS NOT NULL").select("source", "threshold"))
-        rest = step.where("threshold IS NULL").drop("threshold")
-        if rest.isEmpty():
-            break
-        ranges = stage.write(rest)
-    stage.drop(arrays)
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def fraction_cutoffs(samples: DataFrame, id_col: str, source: Column, score: str, targets: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    for w in range(waves):
+        own = stage.write(targets.where(F.pmod(F.xxhash64("source"), F.lit(waves)) == w).select("source", "n", F.col("k").cast("long").alias("k")))
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block_rows)).alias("block")
+        arrays = scores.join(sized_broadcast(own.select("source", "n")), "source").groupBy("source", block)
+        arrays = stage.write(arrays.agg(F.sort_array(F.collect_list("score")).alias("scores")).drop("block"))
+        ranges = own
+        while True:
+            proposed = arrays.mapInArrow(_propose, "source string, size long, pivots array<double>")
+            pivots = stage.write(proposed.groupBy("source").agg(F.max_by("pivots", F.struct("size", "pivots")).alias("pivots")))
+            ranked = arrays.join(sized_broadcast(pivots), "source").mapInArrow(_rank, "source string, pivot double, above long, least long")
+            ranked = ranked.groupBy("source", "pivot").agg(F.sum("above").alias("above"), F.sum("least").alias("least"))
+            # above < k <= least: the pivot is the k-th. Else it bounds the range from above (least < k) or from below (above >= k).
+            hit, over = (F.col("above") < F.col("k")) & (F.col("k") <= F.col("least")), F.col("least") < F.col("k")
+            step = ranked.join(ranges.select("source", "k"), "source").groupBy("source").agg(
+                F.max(F.when(hit, F.col("pivot"))).alias("threshold"),
+                F.coalesce(F.max(F.when(~hit & ~over, F.col("pivot"))), F.lit(-inf)).alias("low"),
+                F.coalesce(F.min(F.when(over, F.col("pivot"))), F.lit(inf)).alias("high"),
+                (F.first("k") - F.coalesce(F.max(F.when(over, F.col("least"))), F.lit(0))).alias("k"),
+            )
+            step = stage.write(step)
+            stage.drop(pivots, *([ranges] if ranges is own else []))
+            found.append(step.where("threshold IS NOT NULL").select("source", "threshold"))
+            ranges = step.where("threshold IS NULL")
+            if ranges.isEmpty():
+                break
+            left = arrays.join(sized_broadcast(ranges.select("source", "low", "high")), "source").mapInArrow(_narrow, "source string, scores array<double>")
+            left = stage.write(left)
+            stage.drop(arrays)
+            arrays = left
+        stage.drop(arrays)
+    return stage.write(reduce(DataFrame.unionByName, found))
+
+
+def fraction_cutoffs(samples: DataFrame, id_col: str, source: Column, score: str, targets: DataFrame, block_rows: int = BLOCK_ROWS, wave: int = WAVE) -> tuple[DataFrame, DataFrame]:
     """For each source the greatest of its scores that at least the fraction ``fraction`` of its records reach.
 
     ``samples``: a record counts if its score is a number from 0 to 1 and neither its identifier nor
@@ -133,10 +151,9 @@ def fraction_cutoffs(samples: DataFrame, id_col: str, source: Column, score: str
     ok = F.col(score).between(0.0, 1.0)  # false for NaN, which sorts above all numbers
     valid = samples.where(ok).select(F.col(id_col).cast("long").alias("id"), source.alias("source"), (F.col(score).cast("double") + F.lit(0.0)).alias("score"))
     valid = stage.write(valid.where("id IS NOT NULL AND source IS NOT NULL").dropDuplicates(["id"]))
-    rows = valid.count()
     wanted = targets.where(F.col("fraction").isNotNull() & ~F.isnan("fraction")).groupBy("source").agg(F.max("fraction").alias("fraction"))
     sized = valid.groupBy("source").agg(F.count("*").alias("n")).join(wanted, "source")
     sized = sized.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("fraction") * F.col("n")))).where("k <= n")
     sized = stage.write(sized)
-    cuts = kth_largest(valid, sized.select("source", "k"), max(1, -(-rows // block_rows)))
+    cuts = kth_largest(valid, sized.select("source", "n", "k"), block_rows, wave)
     return valid, sized.join(cuts, "source").select("source", "fraction", "n", "threshold")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.labels import plain, plain_or_null
-from gridloom.llm.cutoff import fraction_cutoffs
+from gridloom.llm.cutoff import fraction_cutoffs, sized_broadcast
 from gridloom.llm.overlap import Overlap, near_classes
 from gridloom.llm.packing import pack_texts
 from gridloom.llm.pii import find_pii, redact
@@ -122,13 +122,13 @@ def _cutoffs(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
 
 def p4_found(spark: SparkSession, at: str) -> DataFrame:
     valid, cuts = _cutoffs(spark, at)
-    kept = valid.join(cuts.select("source", "threshold"), "source").where("score >= threshold")
+    kept = valid.join(sized_broadcast(cuts.select("source", "threshold")), "source").where("score >= threshold")
     return kept.select("source", F.col("id").alias("sample_id"))
 
 
 def p4_cutoffs(spark: SparkSession, at: str) -> DataFrame:
     valid, cuts = _cutoffs(spark, at)
-    kept = valid.join(cuts, "source").groupBy("source", "fraction", "n", "threshold")
+    kept = valid.join(sized_broadcast(cuts), "source").groupBy("source", "fraction", "n", "threshold")
     return kept.agg(F.count_if(F.col("score") >= F.col("threshold")).alias("n_accepted")).withColumnRenamed("fraction", "coverage")
 
 

@@ -54,8 +54,8 @@ def brute(samples, targets):
     return out
 
 
-@pytest.mark.parametrize("seed,block", [(0, 7), (1, 1 << 18)])
-def test_cutoffs(spark, seed, block):
+@pytest.mark.parametrize("seed,block,wave", [(0, 7, 3), (1, 1 << 18, 1 << 16)])
+def test_cutoffs(spark, seed, block, wave):
     r = np.random.default_rng(seed)
     samples, seen = [], []
     for i in range(800):
@@ -66,7 +66,7 @@ def test_cutoffs(spark, seed, block):
     odd = [(9000, "hot", None), (9001, "hot", float("nan")), (9002, "hot", 1.5), (9003, "hot", -0.1), (None, "hot", 0.9), (9004, None, 0.9)]
     targets = [("hot", 0.3), ("hot", None), ("1", 0.0), ("2", 1.0), ("3", 1.2), ("4", float("nan")), ("5", 0.8125), ("5", 0.5), ("none", 0.5), (None, 0.5)]
     df = spark.createDataFrame(seen + odd, "i long, src string, v double").withColumns({"source": F.lit("x"), "score": F.lit("y")})
-    _, cuts = fraction_cutoffs(df, "i", F.col("src"), "v", spark.createDataFrame(targets, "source string, fraction double"), block)
+    _, cuts = fraction_cutoffs(df, "i", F.col("src"), "v", spark.createDataFrame(targets, "source string, fraction double"), block, wave)
     assert {c.source: c.threshold for c in cuts.collect()} == brute(samples, targets)
 
 
