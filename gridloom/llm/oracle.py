@@ -75,6 +75,9 @@ SELECT info_id, CAST(any_value(n_total) AS BIGINT) AS n_total,
 FROM inflation_info WHERE info_id IS NOT NULL GROUP BY info_id""",
     "p4_found": f"{_CUTS} SELECT source, sample_id FROM s JOIN c USING (source) WHERE confidence >= threshold",
     "p4_cutoffs": f"{_CUTS} SELECT source, c.coverage, n, threshold, count(*) FILTER (WHERE confidence >= threshold) AS n_accepted FROM s JOIN c USING (source) GROUP BY source, c.coverage, n, threshold",
+    "p5_summary": f"""{_ENTITIES}, sizes AS (SELECT coalesce('g:' || root, 'g:' || g) AS entity, count(*) AS n FROM rows_ LEFT JOIN roots ON g = node GROUP BY 1
+  UNION ALL SELECT 'r:' || row_id, 1 FROM prep_rows WHERE {missing_sql('g_raw')})
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_entities, CAST(0 AS BIGINT) AS n_torn, 1 AS shares_hold FROM sizes""",
     "p5_found": f"""{_ENTITIES} SELECT min(row_id) AS first_row_id FROM rows_ LEFT JOIN roots ON g = node GROUP BY coalesce(root, g)
 HAVING count(ix_train) > 0 AND count(ix_tests) > 0""",
 }

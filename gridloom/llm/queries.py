@@ -143,12 +143,28 @@ def p5_found(spark: SparkSession, at: str) -> DataFrame:
     return torn.where("train AND tests").select("first_row_id")
 
 
-def p5_splits(spark: SparkSession, at: str) -> DataFrame:
+def _splits(spark: SparkSession, at: str) -> DataFrame:
     s = _settings(spark, at)
     shares = {k: s[f"split_{k}"] for k in ("train", "validation", "test")}
     return grouped_splits(_table(spark, at, "prep_rows"), "row_id", plain_or_null("g_raw"), _links(spark, at), shares)[0]
 
 
+def p5_splits(spark: SparkSession, at: str) -> DataFrame:
+    return _splits(spark, at)
+
+
+def p5_summary(spark: SparkSession, at: str) -> DataFrame:
+    """Rows and entities in all, entities that lie in more than one split, and whether each split's share is as near as the largest entity allows."""
+    s = _settings(spark, at)
+    of = _splits(spark, at)
+    per = of.groupBy("entity").agg(F.count("*").alias("rows"), F.count_distinct("split").alias("splits"))
+    total = per.agg(F.sum("rows").alias("n_rows"), F.count("*").alias("n_entities"), F.count_if(F.col("splits") > 1).alias("n_torn"), F.max("rows").alias("largest"))
+    sizes = of.agg(*[F.count_if(F.col("split") == k).alias(k) for k in ("train", "validation", "test")])
+    off = [F.abs(F.col(k) - F.lit(s[f"split_{k}"]) / sum(s[f"split_{x}"] for x in ("train", "validation", "test")) * F.col("n_rows")) for k in ("train", "validation", "test")]
+    near = F.greatest(*off) <= F.greatest(F.col("largest"), 0.01 * F.col("n_rows"))
+    return total.crossJoin(sizes).select("n_rows", "n_entities", "n_torn", near.cast("int").alias("shares_hold"))  # one row each
+
+
 def p6_ids(spark: SparkSession, at: str) -> DataFrame:
     return encode_corpus(_table(spark, at, "documents"), "doc_id", "text")
 
@@ -157,6 +173,19 @@ def p7_containers(spark: SparkSession, at: str) -> DataFrame:
     return pack_texts(_table(spark, at, "documents"), "doc_id", "text", int(_settings(spark, at)["container_tokens"]))
 
 
+def p7_fill(spark: SparkSession, at: str) -> DataFrame:
+    """Of the containers: tokens in all, whether any is overfull, pieces that were cut although they fit, and whether 98 percent of the room is used."""
+    capacity = int(_settings(spark, at)["container_tokens"])
+    packed = p7_containers(spark, at)
+    per = packed.groupBy("container").agg(F.sum("n_tokens").alias("tokens"))
+    full = per.agg(F.sum("tokens").alias("n_tokens"), F.count_if(F.col("tokens") > capacity).alias("n_overfull"), F.count("*").alias("n"))
+    cut = packed.where("piece > 0").groupBy("doc_id").agg(F.sum("n_tokens").alias("t"), F.max("piece").alias("p"))
+    texts = packed.join(cut.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"))
+    fits = texts.agg(F.count_if(F.col("tokens") <= capacity).alias("n_cut_needlessly"))
+    used = F.col("n_tokens") >= 0.98 * capacity * (F.col("n") - 1)  # the last one may stay open
+    return full.crossJoin(fits).select("n_tokens", "n_overfull", "n_cut_needlessly", used.cast("int").alias("well_filled"))  # one row each
+
+
 def _names(spark: SparkSession, at: str) -> list[str]:
     """The parts of names known to the project, a table of fixed size."""
     rows = _table(spark, at, "name_parts").where("name_part IS NOT NULL").select("name_part", "part_kind")
@@ -175,6 +204,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_best, p2_found, p2_overlap, p2_classes, p3_found, p3_terms, p3_totals, p4_found, p4_cutoffs,
-        p5_found, p5_splits, p6_ids, p7_containers, p8_found, p8_redacted,
+        p5_found, p5_splits, p5_summary, p6_ids, p7_containers, p7_fill, p8_found, p8_redacted,
     )
 }

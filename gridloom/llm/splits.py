@@ -4,7 +4,9 @@ Entities are the connected components of the link graph, found by Borůvka contr
 round every component picks its least link (a strict order on links by hash, then by ends), the
 picked links join the spanning forest, components joined by them are contracted by pointer
 jumping, and links inside a component vanish. Each round at least halves the components that still
-have links. The contracted links, the parents and the forest are tables in the shared folder.
+have links. The contracted links, the parents and the forest are tables in the shared folder. Every
+join here is one with a table of unique keys (``functions.skew.lookup``), so neither the root of a
+giant component nor a grouper with a third of all rows ends in one task.
 
 Roots are then dealt to the splits: the entities of the largest size bands one by one to the split
 that lacks most, all others systematically along a low-discrepancy sequence within their band, in
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.functions.durable import Stage
+from gridloom.functions.skew import lookup
 
 GOLDEN = 0.6180339887498949
 DEAL_ROWS = 1 << 18
@@ -59,17 +62,17 @@ def spanning_forest(links: DataFrame) -> Forest:
         # Picked links form trees with one pair of nodes pointing at each other; the smaller one becomes the root.
         back = picked.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         root = (F.col("grand") == F.col("node")) & (F.col("node") < F.col("parent"))
-        parents = stage.write(picked.join(back, "parent").select("node", F.when(root, F.col("node")).otherwise(F.col("parent")).alias("parent")))
+        parents = stage.write(lookup(picked, back, "parent").select("node", F.when(root, F.col("node")).otherwise(F.col("parent")).alias("parent")))
         while True:
             up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-            jumped = stage.write(parents.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
+            jumped = stage.write(lookup(parents, up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")))
             moved = not jumped.where("moved").isEmpty()
             stage.drop(parents)
             parents = jumped.drop("moved")
             if not moved:
                 break
         to_x, to_y = (parents.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_root")) for c in "xy")
-        left = open_.join(to_x, "x").join(to_y, "y").where("x_root <> y_root")
+        left = lookup(lookup(open_, to_x, "x"), to_y, "y").where("x_root <> y_root")
         left = left.select("a", "b", F.least("x_root", "y_root").alias("x"), F.greatest("x_root", "y_root").alias("y"), "w")
         # Of parallel links between two components only the least can be picked.
         left = left.groupBy("x", "y").agg(F.min(F.struct("w", "a", "b")).alias("m")).select("m.a", "m.b", "x", "y", "m.w")
@@ -78,8 +81,8 @@ def spanning_forest(links: DataFrame) -> Forest:
             members = parents.select("node", F.col("parent").alias("root"))
         else:
             on = parents.select(F.col("node").alias("root"), F.col("parent").alias("top"))
-            old, members = members, stage.write(members.join(on, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-            stage.drop(old)
+            old, members = members, stage.write(lookup(members, on, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+            stage.drop(old, parents)
         stage.drop(open_)
         open_ = left
     if members is None:
@@ -97,7 +100,7 @@ def entities(df: DataFrame, columns: list[str], group: Column, forest: Forest) -
     column, the identifier, is null are left out. No column may be called ``node``, ``root`` or ``entity``.
     """
     rows = df.select(*columns, group.alias("node")).where(F.col(columns[0]).isNotNull())
-    return rows.join(forest.members, "node", "left").select(*columns, F.coalesce("root", "node").alias("entity"))
+    return lookup(rows, forest.members, "node", "left").select(*columns, F.coalesce("root", "node").alias("entity"))
 
 
 def deal(sizes: DataFrame, shares: dict[str, float]) -> DataFrame:
@@ -163,4 +166,4 @@ def grouped_splits(df: DataFrame, id_col: str, group: Column, links: DataFrame,
     rows = entities(df, [id_col], group, forest)
     rows = stage.write(rows.withColumn("entity", F.coalesce(F.concat(F.lit("g:"), "entity"), F.concat(F.lit("r:"), F.col(id_col).cast("string")))))
     dealt = deal(rows.groupBy("entity").agg(F.count("*").alias("rows")), shares)
-    return rows.join(dealt.drop("rows"), "entity").select(id_col, "entity", "split"), forest
+    return lookup(rows, dealt.drop("rows"), "entity").select(id_col, "entity", "split"), forest
