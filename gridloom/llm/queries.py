@@ -13,7 +13,7 @@ from gridloom.llm.overlap import Overlap, near_classes
 from gridloom.llm.packing import pack_texts
 from gridloom.llm.pii import find_pii, redact
 from gridloom.llm.splits import entities, grouped_splits, spanning_forest
-from gridloom.llm.termfreq import marked_terms
+from gridloom.llm.termfreq import marked_terms, record_terms
 from gridloom.llm.tokenizer import encode_corpus
 from gridloom.llm.topn import top_n_per_group
 
@@ -91,10 +91,15 @@ def p2_classes(spark: SparkSession, at: str) -> DataFrame:
     return linked.select(F.col("id").alias("row_id"), F.when(F.col("side") == "a", "train").otherwise("test").alias("split"), "class_id", "n_rows", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _levels() -> Column:
+    """Plain forms of all entries of both lists."""
+    both = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("to_deflate", "to_keep")])
+    return F.transform(both, plain)
+
+
 def _terms(spark: SparkSession, at: str) -> DataFrame:
     s = _settings(spark, at)
-    both = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("to_deflate", "to_keep")])
-    return marked_terms(_table(spark, at, "inflation_info"), "info_id", F.transform(both, plain), s["rare_below_records"], s["common_above_fraction"])
+    return marked_terms(_table(spark, at, "inflation_info"), "info_id", _levels(), s["rare_below_records"], s["common_above_fraction"])
 
 
 def p3_found(spark: SparkSession, at: str) -> DataFrame:
@@ -108,11 +113,10 @@ def p3_terms(spark: SparkSession, at: str) -> DataFrame:
 
 def p3_totals(spark: SparkSession, at: str) -> DataFrame:
     """Each record's n_total against the distinct levels of its lists."""
-    lists = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("to_deflate", "to_keep")])
-    levels = F.size(F.array_distinct(F.filter(F.transform(lists, plain), lambda t: t != ""))).cast("long").alias("n_levels")
-    rows = _table(spark, at, "inflation_info").where("info_id IS NOT NULL").dropDuplicates(["info_id"])
-    rows = rows.select("info_id", F.col("n_total").cast("long").alias("n_total"), levels)
-    return rows.withColumn("holds", F.coalesce((F.col("n_total") == F.col("n_levels")).cast("int"), F.lit(0)))
+    table = _table(spark, at, "inflation_info")
+    levels = record_terms(table, "info_id", _levels()).select("info_id", F.col("n_terms").alias("n_levels"))
+    rows = table.where("info_id IS NOT NULL").groupBy("info_id").agg(F.max("n_total").cast("long").alias("n_total"))
+    return rows.join(levels, "info_id").withColumn("holds", F.coalesce((F.col("n_total") == F.col("n_levels")).cast("int"), F.lit(0)))
 
 
 def _cutoffs(spark: SparkSession, at: str) -> tuple[DataFrame, DataFrame]:
