@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from gridloom.functions.durable import spread
 from gridloom.llm.tokenizer import text_chunks
 
-KINDS = ("email", "id_number", "phone", "street_address", "person_name")
+KINDS = ("email", "id_number", "phone", "account_number", "street_address", "person_name")
 
 # Forms of the at-sign, labels of numbers of persons, and words for streets.
 AT = ("@", "(at)", "[at]", "{at}", "<at>", " at ")
@@ -43,7 +43,6 @@ STREET_ENDINGS = ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz"
 LINKING = ("de", "del", "da", "do", "dos", "das", "di", "du", "van", "von", "der", "den", "la", "le", "y", "e")
 
 _WORD = "\\p{L}\\p{M}"
-_LOCAL = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+-]*[\p{L}\p{N}_+-])?\Z")
 _GLUE = r"(?:\.|\s?[(\[{<]\s?(?:dot|punkt|punto|point|ponto)\s?[)\]}>]\s?| dot )"
 _DOMAIN = regex.compile(rf"[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}-]*[\p{{L}}\p{{N}}])?(?:{_GLUE}[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}-]*[\p{{L}}\p{{N}}])?)+", regex.I)
 _GLUED = regex.compile(_GLUE, regex.I)
@@ -69,16 +68,22 @@ _NUMBER_OF_PERSON = regex.compile(
 _AFTER_LABEL = regex.compile(r"[ \t]*(?:security)?[ \t]*(?:(?:no|nr|num|number|nummer|n[º°]|id|#)\b\.?|número|numéro)?[ \t]*(?:is|ist|es|est|é)?[ \t]*[.:#=]?[ \t]*", regex.I)
 # Numbers that are told by their form alone, at or just before their anchor's start.
 _BARE_ID = [regex.compile(r"\d{3}-\d{2}-\d{4}"), regex.compile(r"\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])-\d{4}"), regex.compile(r"[A-Z]{2} ?\d{2} \d{2} \d{2} ?[A-D]")]
+_ACCOUNT_SHAPES = ("00 ", "00-", "0000")
 _BARE_SHAPES = ("000-00-0000", "000000-0000", "00 00 00 ")
 
-_EN_STREET = regex.compile(rf"(?<![\w.,/-])\d{{1,5}}(?:-?[A-Z])?,? (?:[{_WORD}'’-]+ ){{1,3}}\Z")
+# Account numbers: two capitals and two digits, then groups of capitals and digits; or groups of digits.
+_IBAN = regex.compile(r"[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}")
+_CARD = regex.compile(r"\d{4}(?:[ -]?\d{2,4}){2,4}[ -]?\d{1,4}|\d{13,19}")
+
+_EN_NUMBER = regex.compile(r"(?<![\w.,/-])\d{1,5}(?:-?[A-Z])?,? \Z")
+_NAME_CHAR = regex.compile(rf"[{_WORD}'’-]")
 _EN_NAME = regex.compile(rf"\d{{1,5}}(?:-?[A-Z])?,? (?:\p{{Lu}}[{_WORD}'’-]* )+\Z")
 _FR_NUMBER = regex.compile(r"(?<![\w.,/-])\d{1,4}(?: ?(?:bis|ter|quater)| ?[A-Za-z])?,? \Z", regex.I)
 _NAMED = rf"\p{{Lu}}[{_WORD}]*(?:['’-][{_WORD}]+)*"
 _FR_NAME = regex.compile(rf" (?:(?:de la|de l['’]|des|du|de|d['’]) ?)?{_NAMED}(?:(?: (?:de la|des|du|de|et|sur|en))? {_NAMED}){{0,3}}")
 _HOUSE = regex.compile(r",? (?:n[º°]\.? ?)?(\d{1,4}(?: ?[a-z](?![\w]))?)(?![\w])", regex.I)
 _ES_NAME = regex.compile(rf"\.? ?(?:(?:de los|de las|de la|del|de|da|do|dos|das) )?{_NAMED}(?:(?: (?:de la|del|de|y|da|do|dos))? {_NAMED}){{0,3}}")
-_DE_HEAD = regex.compile(rf"(?<![{_WORD}])\p{{Lu}}[{_WORD}-]*\Z")
+_LETTER = regex.compile(rf"[{_WORD}]")
 _DE_HOUSE = regex.compile(r" \d{1,4}(?: ?[a-z](?![\w]))?(?![\w])")
 
 _INITIAL = rf"\p{{Lu}}\.(?:[ -]?\p{{Lu}}\.){{0,2}}"
@@ -132,7 +137,7 @@ class Finder:
         automaton = ahocorasick.Automaton()
         cues: dict[str, list[str]] = defaultdict(list)
         for kind, words in (
-            ("at", AT), ("id", ID_LABELS), ("bare", _BARE_SHAPES), ("phone", _PHONE_SHAPES), ("after", STREETS_AFTER), ("before", STREETS_BEFORE),
+            ("at", AT), ("id", ID_LABELS), ("bare", _BARE_SHAPES), ("phone", _PHONE_SHAPES), ("account", _ACCOUNT_SHAPES), ("after", STREETS_AFTER), ("before", STREETS_BEFORE),
             ("first", STREETS_FIRST), ("ending", STREET_ENDINGS), ("name", list(self.kinds)),
         ):
             for w in words:
@@ -167,11 +172,13 @@ class Finder:
         for a, b in anchors["bare"]:
             if span := self.bare_id(text, a, b):
                 take(*span, "id_number")
-        done = -1
-        for a, _ in sorted(anchors["phone"]):
-            if a > done and (span := self.phone(text, a)):
-                take(*span, "phone")
-                done = span[1] - 1
+        # An international account number is told by its check digits; a card number only where no phone is.
+        for kind, anchor, parse in (("account_number", "account", self.account), ("phone", "phone", self.phone), ("account_number", "account", self.card)):
+            done = -1
+            for a, _ in sorted(anchors[anchor]):
+                if a > done and (span := parse(text, a)):
+                    take(*span, kind)
+                    done = span[1] - 1
         for parse, kind in ((self.street_after, "after"), (self.street_before, "before"), (self.street_first, "first"), (self.street_ending, "ending")):
             for a, b in anchors[kind]:
                 if span := parse(text, a, b):
@@ -191,16 +198,26 @@ class Finder:
                 right += 1
             if a - left > 1 or right - b > 1:
                 return None
-        m = _LOCAL.search(text, max(0, left - 64), left)
-        d = _DOMAIN.match(text, right, right + 255)
-        if not m or not d:
+        start = self.local_part(text, left)
+        d = _DOMAIN.match(text, right)
+        if start is None or not d:
             return None
         labels = _GLUED.split(d[0])
         if sign == " at " and "." in d[0]:
             return None  # words around a plain "at" are an address only if the dots are spelled too
         while len(labels) > 1 and not (labels[-1].isalpha() and 2 <= len(labels[-1]) <= 24):
             return None
-        return m.start(), d.end()
+        return start, d.end()
+
+    @staticmethod
+    def local_part(text: str, end: int) -> int | None:
+        """Where the part before the sign begins: the whole run of its characters, from a letter or digit on."""
+        i = end
+        while i and (text[i - 1].isalnum() or text[i - 1] in "._%+-"):
+            i -= 1
+        while i < end and not text[i].isalnum():
+            i += 1
+        return i if i < end and text[end - 1] not in ".%" else None
 
     def labelled(self, text: str, a: int, b: int) -> tuple[int, int] | None:
         if a and (text[a - 1].isalnum() or text[a - 1] == "_"):
@@ -210,15 +227,41 @@ class Finder:
         if at == b and text[b : b + 1].isalnum():
             return None
         n = _NUMBER_OF_PERSON.match(text, at)
-        if not n or not self.alone(text, at, n.end()):
+        if not n or not self.alone(text, at, n.end()) or not self.some_number(n[0]):
             return None
         return at, n.end()
 
+    @staticmethod
+    def some_number(text: str) -> bool:
+        """Whether any digit is not 0; numbers of nothing but zeros stand for no person."""
+        return any(c.isdigit() and c != "0" for c in text)
+
+    def account(self, text: str, a: int) -> tuple[int, int] | None:
+        """An international account number whose remainder by 97 is 1."""
+        m = _IBAN.match(text, a - 2) if a >= 2 and text[a - 1].isupper() else None
+        if m and self.alone(text, m.start(), m.end()):
+            bare = re.sub(r"[ -]", "", m[0])
+            if 15 <= len(bare) <= 34 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
+                return m.span()
+        return None
+
+    def card(self, text: str, a: int) -> tuple[int, int] | None:
+        """A card number of 13 to 19 digits whose weighted digit sum ends in 0."""
+        if a and text[a - 1].isdigit():
+            return None
+        m = _CARD.match(text, a)
+        if m and self.alone(text, m.start(), m.end()) and self.some_number(m[0]):
+            digits = [int(c) for c in m[0] if c.isdigit()]
+            doubled = [d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(reversed(digits))]
+            if 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0:
+                return m.span()
+        return None
+
     def bare_id(self, text: str, a: int, b: int) -> tuple[int, int] | None:
         for start in (a, a - 2, a - 3):
             for p in _BARE_ID if start >= 0 else ():
-                m = p.match(text, start, start + 16)
-                if m and m.end() >= b - 1 and self.alone(text, start, m.end()):
+                m = p.match(text, start)
+                if m and m.end() >= b - 1 and self.alone(text, start, m.end()) and self.some_number(m[0]):
                     return start, m.end()
         return None
 
@@ -237,22 +280,31 @@ class Finder:
             if start and (text[start - 1].isalnum() or text[start - 1] in "+_#=$€" or text[start - 1] in ".-/" and start > 1 and text[start - 2].isalnum()):
                 continue
             for i, p in enumerate(_PHONES):
-                m = p.match(text, start, start + 40)
+                m = p.match(text, start)
                 if not m:
                     continue
                 end = m.end()
                 n = sum(c.isdigit() for c in m[0])
                 least, most = ((8, 15), (9, 12), (10, 11), (9, 9))[i]
-                if least <= n <= most and self.alone(text, start, end) and (i or m[0][0] == "+" or any(c in " -./ " for c in m[0])):
+                if least <= n <= most and self.alone(text, start, end) and self.some_number(m[0]) and (i or m[0][0] == "+" or any(c in " -./ " for c in m[0])):
                     return start, end
         return None
 
     def street_after(self, text: str, a: int, b: int) -> tuple[int, int] | None:
         if not text[a].isupper() or text[b : b + 1].isalnum() or text[a - 1 : a] != " ":
             return None
-        start = max(0, a - 60)
-        m = _EN_STREET.search(text, start, a)
-        if not m or not _EN_NAME.fullmatch(text, m.start(), m.end()):
+        # Up to three words before the street word, then the house number.
+        at, m = a, None
+        for _ in range(3):
+            i = at - 1
+            while i > 0 and _NAME_CHAR.match(text, i - 1):
+                i -= 1
+            if i <= 0 or i == at - 1 or text[i - 1] != " ":
+                break
+            at = i
+            if n := _EN_NUMBER.search(text, max(0, at - 12), at):  # the number is shorter than this
+                m = n
+        if not m or not _EN_NAME.fullmatch(text, m.start(), a):
             return None
         word, rest = text[a:b].lower(), text[b : b + 3]
         if rest[:1] == "." and word in ("st", "rd", "ave", "blvd", "ln", "dr", "ct", "pl", "sq", "hwy", "pkwy"):
@@ -263,25 +315,30 @@ class Finder:
         return m.start(), b
 
     def street_before(self, text: str, a: int, b: int) -> tuple[int, int] | None:
-        m = _FR_NUMBER.search(text, max(0, a - 14), a)
-        n = _FR_NAME.match(text, b, b + 60)
+        m = _FR_NUMBER.search(text, max(0, a - 16), a)  # the number is shorter than this
+        n = _FR_NAME.match(text, b) if m else None
         return (m.start(), n.end()) if m and n else None
 
     def street_first(self, text: str, a: int, b: int) -> tuple[int, int] | None:
         if not text[a].isupper() or a and (text[a - 1].isalnum() or text[a - 1] in "_/"):
             return None
-        n = _ES_NAME.match(text, b, b + 60)
+        n = _ES_NAME.match(text, b)
         if not n or (text[b : b + 1].isalnum() and text[b - 1] != "/"):
             return None
-        h = _HOUSE.match(text, n.end(), n.end() + 16)
+        h = _HOUSE.match(text, n.end())
         return (a, h.end()) if h else None
 
     def street_ending(self, text: str, a: int, b: int) -> tuple[int, int] | None:
-        head = _DE_HEAD.search(text, max(0, a - 40), a)
-        h = _DE_HOUSE.match(text, b, b + 9)
-        if not h or not (head or text[a].isupper()):
+        h = _DE_HOUSE.match(text, b)
+        if not h:
             return None
-        return (head.start() if head else a), h.end()
+        i = a
+        while i and (text[i - 1] == "-" or _LETTER.match(text, i - 1)):
+            i -= 1
+        # The first part of the joined word that begins with a capital.
+        while i < a and not (text[i].isupper() and (i == 0 or not _LETTER.match(text, i - 1))):
+            i += 1
+        return (i, h.end()) if i < a or text[a].isupper() else None
 
     def names(self, text: str, low: str, anchors: list[tuple[int, int]], covered: bytearray) -> Iterator[tuple[int, int]]:
         """Full, inverted and initialled names and lone given names around parts of names."""
@@ -304,7 +361,7 @@ class Finder:
             a, b, kinds, odd = units[i]
             nxt = units[i + 1] if i + 1 < len(units) else None
             start, end, used = a, b, 1
-            m = _BEFORE_INITIAL.search(text, max(0, a - 12), a)
+            m = _BEFORE_INITIAL.search(text, max(0, a - 12), a)  # three initials are shorter than this
             if m and not covered[m.start()]:
                 # A lone given name has no initial, and a full one none before it: "M." is a title there.
                 titled = text[m.start() : m.start() + 2] == "M." and ("given" in kinds or m[0].count(".") > 1)
@@ -313,7 +370,7 @@ class Finder:
             initials = start < a
             if "given" in kinds or initials:
                 at = b
-                if not initials and (x := _AFTER_INITIAL.match(text, b, b + 14)):
+                if not initials and (x := _AFTER_INITIAL.match(text, b)):
                     at = x.end()
                 if nxt and (text[at : nxt[0]] == " " or _LINK.fullmatch(text, at, nxt[0])) and ("family" in nxt[2] or "given" in nxt[2]):
                     end, used = nxt[1], 2
@@ -332,10 +389,10 @@ class Finder:
                     yield start, end
             elif nxt and text[b : nxt[0]] == ", " and "given" in nxt[2] and "family" in kinds:
                 end, used = nxt[1], 2
-                if x := _AFTER_INITIAL.match(text, end, end + 14):
+                if x := _AFTER_INITIAL.match(text, end):
                     end = x.end()
                 yield start, end
-            elif "family" in kinds and (x := _INVERTED_INITIAL.match(text, b, b + 14)) and not odd:
+            elif "family" in kinds and (x := _INVERTED_INITIAL.match(text, b)) and not odd:
                 yield a, x.end()
             i += used
 
@@ -372,19 +429,20 @@ def _scan(df: DataFrame, id_col: str, text_col: str, parts: Sequence[tuple[str,
     return slim.mapInArrow(scan, T.StructType([slim.schema["id"], *columns]))
 
 
-def find_pii(df: DataFrame, id_col: str, text_col: str, parts: Sequence[tuple[str, str]]) -> DataFrame:
-    """Each distinct piece of personal data of each text: ``id_col``, ``pii_kind``, ``pii_text``.
+def find_pii(df: DataFrame, id_col: str, text_col: str, parts: Sequence[tuple[str, str]], kinds: Sequence[str] = KINDS) -> DataFrame:
+    """Each distinct piece of personal data of each text: ``id_col``, ``pii_kind``, ``pii_text``; of the ``kinds`` asked for.
 
     ``parts``: parts of names with their kind, ``given`` or ``family``; a list of fixed size. Kinds
     are those of ``KINDS``; the piece is written as in the text. Null, empty and blank texts have
     none. Rows with the same identifier are read as one text's pieces.
     """
+    wanted = frozenset(kinds)
     fields = [T.StructField("pii_kind", T.StringType()), T.StructField("pii_text", T.StringType())]
 
     def emit(finder: Finder, b: pa.RecordBatch) -> pa.RecordBatch:
         rows, kinds, pieces = [], [], []
         for i, text in enumerate(b.column(1).to_pylist()):
-            for kind, piece in dict.fromkeys((k, text[a:e]) for a, e, k in finder.find(text)) if text else ():
+            for kind, piece in dict.fromkeys((k, text[a:e]) for a, e, k in finder.find(text) if k in wanted) if text else ():
                 rows.append(i)
                 kinds.append(kind)
                 pieces.append(piece)

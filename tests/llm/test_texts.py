@@ -97,6 +97,17 @@ FOUND = [
 ]
 
 
+_LONG = "Brindle" * 40
+FOUND += [
+    (f"to {'ab.' * 60}c@{'post-' * 30}x.{'sub' * 80}.example now", {("email", f"{'ab.' * 60}c@{'post-' * 30}x.{'sub' * 80}.example")}),
+    (f"at 12 {_LONG} {_LONG} Lane, then {_LONG.capitalize()}straße 7 and 7 rue du {_LONG} de la {_LONG}, Calle {_LONG}, 82",
+     {("street_address", f"12 {_LONG} {_LONG} Lane"), ("street_address", f"{_LONG.capitalize()}straße 7"), ("street_address", f"7 rue du {_LONG} de la {_LONG}"), ("street_address", f"Calle {_LONG}, 82")}),
+    ("SSN 000-00-0000, 000-00-0000", set()),
+    ("pay to DE89 3704 0044 0532 0130 00, not GB83 WEST 1234 5698 7654 32", {("account_number", "DE89 3704 0044 0532 0130 00")}),
+    ("card 4111 1111 1111 1111, not 4111 1111 1111 1112, nor 0000 0000 0000 0000", {("account_number", "4111 1111 1111 1111")}),
+]
+
+
 @pytest.mark.parametrize("text,want", FOUND)
 def test_pieces(text, want):
     assert {(k, text[a:b]) for a, b, k in Finder(PARTS).find(text)} == want
@@ -118,3 +129,4 @@ def test_find_and_redact(spark):
     assert red[(1, 3)] == "mail [EMAIL], [EMAIL] by [PERSON_NAME]" and red[(2, 0)] is None and red[(3, 0)] == "" and red[(6, 1)] == "İstanbul [EMAIL]"
     assert find_pii(df.limit(0), "doc", "text", []).count() == 0
     assert find_pii(df, "doc", "text", []).count() == 3
+    assert find_pii(df, "doc", "text", PARTS, ["person_name"]).count() == 1
