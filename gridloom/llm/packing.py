@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.durable import Stage, spread
-from gridloom.llm.tokenizer import VOCABULARY, encoder_of, shared_table, text_chunks
+from gridloom.llm.tokenizer import encoder_of, shared_table, text_chunks
 
 DIMENSIONS = 3
 BITS = 10
@@ -107,7 +107,7 @@ class Shelf:
         return to
 
 
-def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int, path: str = VOCABULARY) -> DataFrame:
+def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int, path: str | None = None) -> DataFrame:
     """The container of each text: ``id_col``, ``piece``, ``container``, ``n_tokens``.
 
     Only a text longer than ``capacity`` is split: into pieces that fill a container each and a

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from gridloom.functions.durable import spread
 
+#: Where the vocabulary lies unless the session's ``spark.gridloom.vocabulary`` or the caller says otherwise.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: how the vocabulary's texts are cut into pre-tokens.
@@ -191,8 +192,9 @@ _ENCODERS: dict[int, Encoder] = {}
 _TABLES: dict[tuple[str, str], object] = {}
 
 
-def shared_table(spark: SparkSession, path: str = VOCABULARY):
+def shared_table(spark: SparkSession, path: str | None = None):
     """Broadcast of the vocabulary's perfect hash; built once a session."""
+    path = path or spark.conf.get("spark.gridloom.vocabulary", VOCABULARY)
     key = (spark.sparkContext.applicationId, path)
     if key not in _TABLES:
         _TABLES[key] = spark.sparkContext.broadcast(PerfectHash(read_vocabulary(path)))
@@ -218,7 +220,7 @@ def text_chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) ->
             yield batch.slice(int(a), int(b - a))
 
 
-def encode_corpus(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY) -> DataFrame:
+def encode_corpus(df: DataFrame, id_col: str, text_col: str, path: str | None = None) -> DataFrame:
     """``id_col`` and ``ids`` (list of int) of every row, without special tokens.
 
     Null and empty texts get an empty list; the spelling of a special token is ordinary text. Rows
