@@ -139,8 +139,8 @@ def near_classes(
     marked = ", ".join(f"isnull({c}), {c}" for c in features)
     rows = rows.where("id IS NOT NULL AND side IS NOT NULL").selectExpr("*", f"xxhash64(1, {marked}) AS k1", f"xxhash64({marked}, 2) AS k2")
     rows = stage.write(rows)
-    firsts = [F.first(c).alias(c) for c in features]
-    classes = rows.groupBy("side", "k1", "k2").agg(F.count("*").alias("n"), *firsts)
+    # Grouped by the features themselves, as keys of a hash aggregate; gathering them as values would sort the rows.
+    classes = rows.groupBy("side", "k1", "k2", *features).agg(F.count("*").alias("n"))
     classes = stage.write(classes.withColumn("id", F.monotonically_increasing_id()))  # numbers within this run, settled by the write
 
     def with_tokens(part: DataFrame, both: bool, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
