@@ -21,27 +21,16 @@ from gridloom.operators.score import uniform_bin, wilson
 
 
 def merge_bins(edges: Sequence[float], counts: Sequence[int], errors: Sequence[int], least: int) -> tuple[list[float], list[int], list[int]]:
-    """Joins neighbouring bins from the left until each holds ``least`` rows; what is left over goes to the last."""
-    if all(c >= least for c in counts):
-        return list(edges), list(counts), list(errors)
-    out_edges, out_counts, out_errors = [edges[0]], [], []
-    c = e = 0
-    for right, n, k in zip(edges[1:], counts, errors):
-        c, e = c + n, e + k
-        if c >= least:
-            out_edges.append(right)
-            out_counts.append(c)
-            out_errors.append(e)
-            c = e = 0
-    if c or not out_counts:
-        if out_counts:
-            out_counts[-1] += c
-            out_errors[-1] += e
-        else:
-            out_edges.append(edges[-1])
-            out_counts, out_errors = [c], [e]
-    out_edges[-1] = edges[-1]
-    return out_edges, out_counts, out_errors
+    """Neighbouring bins joined so that each holds ``least`` rows; what is left over on the right goes to the last.
+
+    On the running totals: a cut lies where the total has grown by ``least`` since the cut before.
+    """
+    rows, wrong = (np.r_[0, np.cumsum(np.asarray(v, np.int64))] for v in (counts, errors))
+    cuts, end = [0], len(rows) - 1
+    while (at := int(np.searchsorted(rows, rows[cuts[-1]] + least))) <= end:
+        cuts.append(at)
+    cuts = [*cuts[: max(1, len(cuts) - 1)], end]
+    return [edges[i] for i in cuts], np.diff(rows[cuts]).tolist(), np.diff(wrong[cuts]).tolist()
 
 
 def decreasing(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -99,7 +88,7 @@ def fit_bins(
             edges = [i * (1.0 / int(first["b"])) for i in range(int(first["b"]))] + [1.0]
         c, e = np.zeros(len(edges) - 1, int), np.zeros(len(edges) - 1, int)
         c[pdf["i"]], e[pdf["i"]] = pdf["count"], pdf["errors"]
-        edges, c, e = merge_bins(edges, c.tolist(), e.tolist(), max(1, min_count))
+        edges, c, e = merge_bins(edges, c, e, max(1, min_count))
         c, e = np.array(c, float), np.array(e, float)
         overall = first["e"] / first["n"]
         with np.errstate(all="ignore"):

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from gridloom.functions import tails
 from gridloom.functions.durable import Stage
-from gridloom.functions.ranks import running_sums, value_counts
+from gridloom.functions.ranks import previous, running_sums, value_counts
 from gridloom.operators.shape import melt
 
 # What each statistic means to selection.
@@ -29,9 +29,16 @@ P_VALUE = {"t": "t_p", "U": "U_p", "W": "W_p", "corr": "corr_p", "pearson_r": "p
 DEFAULT = {("cont", "class"): "mut_info", ("cat", "class"): "mut_info", ("cont", "reg"): "F", ("cat", "reg"): "H"}
 
 
-def _levels(df: DataFrame, target: str) -> list[str]:
-    """Classes of the target, a set of bounded size."""
-    return sorted(str(r[0]) for r in df.where(F.col(target).isNotNull()).select(F.col(target).cast("string")).distinct().limit(10_001).collect())
+#: Classes up to which each gets a column of counters.
+COUNTED = 64
+#: Classes that are each held against all others by nearest neighbours; more are an error.
+MOST_CLASSES = 10_000
+
+
+def _levels(df: DataFrame, target: str) -> list[str] | None:
+    """Classes of the target, or None if they are more than ``COUNTED``."""
+    found = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string")).distinct().limit(COUNTED + 1).collect()
+    return sorted(str(r[0]) for r in found) if len(found) <= COUNTED else None
 
 
 def _pearson_t(r: Column, n: Column) -> Column:
@@ -63,26 +70,55 @@ def cont_class_moments(df: DataFrame, columns: Sequence[str], target: str) -> Da
     )
 
 
-def cont_class_ranks(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """Per ``feature`` and ``level``: Mann-Whitney ``U`` of group 0 with ``U_z``, Brunner-Munzel ``W``, ``AUROC`` (at least a half).
-
-    The classes are columns of counters; a row of the counted table is a distinct value of a feature.
-    """
-    levels = _levels(df, target)
-    long = melt(df, columns, {"y": F.col(target).cast("string")}).where("x IS NOT NULL AND y IS NOT NULL")
+def _sums_by_counters(long: DataFrame, levels: list[str]) -> DataFrame:
+    """Sums over ranks of each class and of all others: with a class's row its ``d1`` is the others' rows below it, ties half, and the other way round ``d0``."""
     counters = {f"l{i}": (F.col("y") == v).cast("long") for i, v in enumerate(levels)}
     ranked = value_counts(long, ["feature"], "x", counters)
     per = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), F.col(f"l{i}").alias("k1"), F.col(f"cum_l{i}").alias("c1")) for i, v in enumerate(levels)]))
     rows = ranked.select("feature", F.col("n").alias("k"), "cum", F.col("avg_rank").alias("r"), per.alias("p")).select("feature", "k", "cum", "r", "p.*")
     k0, c0 = F.col("k") - F.col("k1"), F.col("cum") - F.col("c1")
-    # Mid-ranks within the two groups; d is the combined rank less the own one.
-    w1, w0 = F.col("c1") - F.col("k1") + (F.col("k1") + 1) / 2, c0 - k0 + (k0 + 1) / 2
-    d1, d0 = F.col("r") - w1, F.col("r") - w0
+    d1, d0 = c0 - k0 / 2, F.col("c1") - F.col("k1") / 2
     k, k1 = F.col("k").cast("double"), F.col("k1").cast("double")
-    agg = rows.groupBy("feature", "level").agg(
+    return rows.groupBy("feature", "level").agg(
         F.sum(k1).alias("n1"), F.sum(k0.cast("double")).alias("n0"), F.sum(k1 * F.col("r")).alias("R1"), F.sum(k0 * F.col("r")).alias("R0"),
         F.sum(k * k * k - k).alias("T"), F.sum(k1 * d1).alias("D1"), F.sum(k1 * d1 * d1).alias("DD1"), F.sum(k0 * d0).alias("D0"), F.sum(k0 * d0 * d0).alias("DD0"),
     )
+
+
+def _sums_by_class(long: DataFrame) -> DataFrame:
+    """The sums of ``_sums_by_counters`` for any number of classes, from a row for each class and value that occur together.
+
+    Between two neighbouring values of a class the others' ``d0`` doesn't change, so their rows there need
+    only be counted.
+    """
+    every = value_counts(long, ["feature"], "x").select("feature", "x", F.col("n").alias("k"), "cum", F.col("avg_rank").alias("r"), F.col("total").alias("n"))
+    tied = every.groupBy("feature").agg(F.sum(F.pow(F.col("k").cast("double"), 3) - F.col("k")).alias("T"))
+    own = value_counts(long, ["feature", "y"], "x").select("feature", F.col("y").alias("level"), "x", F.col("n").alias("k1"), F.col("cum").alias("c1"), F.col("total").alias("n1"))
+    j = own.join(every, ["feature", "x"])
+    k0, c0 = F.col("k") - F.col("k1"), F.col("cum") - F.col("c1")
+    j = j.withColumns({"k0": k0.cast("double"), "c0": c0.cast("double"), "below": (c0 - k0).cast("double")})
+    j = previous(j, ["feature", "level"], ["c0", "x"], "c0_before")
+    k1, d1, d0 = F.col("k1").cast("double"), F.col("c0") - F.col("k0") / 2, F.col("c1") - F.col("k1") / 2
+    # The others' rows between the value before and this one lie above all the class's rows up to there.
+    gap, up = F.col("below") - F.coalesce("c0_before", F.lit(0.0)), (F.col("c1") - F.col("k1")).cast("double")
+    s = j.groupBy("feature", "level").agg(
+        F.first(F.col("n1").cast("double")).alias("n1"), F.first((F.col("n") - F.col("n1")).cast("double")).alias("n0"), F.first(F.col("n").cast("double")).alias("n"), F.sum(k1 * F.col("r")).alias("R1"),
+        F.sum(k1 * d1).alias("D1"), F.sum(k1 * d1 * d1).alias("DD1"), F.sum(F.col("k0") * d0 + gap * up).alias("D0"), F.sum(F.col("k0") * d0 * d0 + gap * up * up).alias("DD0"), F.max("c0").alias("last"),
+    )
+    rest = F.col("n0") - F.col("last")  # above the class's highest value
+    s = s.withColumns({"D0": F.col("D0") + rest * F.col("n1"), "DD0": F.col("DD0") + rest * F.col("n1") * F.col("n1"), "R0": F.col("n") * (F.col("n") + 1) / 2 - F.col("R1")})
+    return s.join(tied, "feature").drop("n", "last")
+
+
+def cont_class_ranks(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+    """Per ``feature`` and ``level``: Mann-Whitney ``U`` of group 0 with ``U_z``, Brunner-Munzel ``W``, ``AUROC`` (at least a half).
+
+    Few classes are columns of counters, and a row of the counted table is a distinct value of a
+    feature; with more classes each class's values are counted by themselves and meet those of all rows.
+    """
+    levels = _levels(df, target)
+    long = melt(df, columns, {"y": F.col(target).cast("string")}).where("x IS NOT NULL AND y IS NOT NULL")
+    agg = _sums_by_counters(long, levels) if levels is not None else _sums_by_class(long)
     n0, n1 = F.col("n0"), F.col("n1")
     n = n0 + n1
     u0 = F.col("R0") - n0 * (n0 + 1) / 2
@@ -182,25 +218,34 @@ def cat_class(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """``feature``, ``level``, ``cramer_v``, ``mut_info``, ``H``, ``H_p``: each class against all others, and all classes (null level).
 
     ``H`` compares the class indicator over the feature's levels by ranks; it is 0 where the indicator is constant.
+    The two-way counts of a class against all others follow from the counted pairs and their totals;
+    levels without a row of the class are added as one, so no pair that doesn't occur is made.
     """
     pairs = contingency(df, columns, target)
-    classes = pairs.select("b").distinct().select(F.col("b").alias("level"))
-    one = pairs.join(F.broadcast(classes.limit(10_000)), F.lit(True))  # classes are few: bounded above
-    one = one.groupBy("feature", "level", "a", (F.col("b") == F.col("level")).cast("string").alias("b")).agg(F.sum("o").alias("o"))
-    per_level = _contingency_stats(one, ["feature", "level"])
-    # Ranks of a 0/1 indicator have two values, so H follows from the counts.
-    w = one.groupBy("feature", "level", "a").agg(F.sum("o").alias("n"), F.sum(F.when(F.col("b") == "true", F.col("o")).otherwise(0)).alias("n1"))
-    tot = w.groupBy("feature", "level").agg(F.sum("n").alias("all"), F.sum("n1").alias("ones"), F.count("*").alias("k"))
-    big = F.col("all").cast("double")
-    n0 = big - F.col("ones")
-    r0, r1 = (n0 + 1) / 2, n0 + (F.col("ones") + 1) / 2
-    rank_sum = (F.col("n") - F.col("n1")) * r0 + F.col("n1") * r1
-    h = w.join(tot, ["feature", "level"]).groupBy("feature", "level").agg(F.sum(rank_sum * rank_sum / F.col("n")).alias("S"), F.first(big).alias("all"), F.first(n0).alias("zeros"), F.first(F.col("ones").cast("double")).alias("ones"), F.first("k").alias("k"))
-    n, ties = F.col("all"), (F.pow("zeros", 3) - F.col("zeros")) + (F.pow("ones", 3) - F.col("ones"))
-    fix = 1 - ties / (n * n * n - n)
-    stat = F.when((F.col("zeros") > 0) & (F.col("ones") > 0), (12 / (n * (n + 1)) * F.col("S") - 3 * (n + 1)) / fix).otherwise(0.0)
-    h = h.select("feature", "level", stat.alias("H"), (F.col("k") - 1).cast("double").alias("dof"))
-    per_level = per_level.join(h, ["feature", "level"]).select("feature", "level", "cramer_v", "mut_info", "H", tails.chi2_upper("H", "dof").alias("H_p"))
+    rows = pairs.groupBy("feature", "a").agg(F.sum("o").alias("ra"))
+    cols = pairs.groupBy("feature", "b").agg(F.sum("o").alias("cb"))
+    dims = rows.groupBy("feature").agg(F.count("*").alias("k"), F.sum("ra").alias("n"))
+    j = pairs.join(rows, ["feature", "a"]).join(cols, ["feature", "b"]).join(dims, "feature")
+    o, ra, c1, n = (F.col(c).cast("double") for c in ("o", "ra", "cb", "n"))
+    c0, other = n - c1, ra - o
+    r0, r1 = (c0 + 1) / 2, c0 + (c1 + 1) / 2
+    share = lambda x, c: F.when(x > 0, x / n * F.log(x * n / (ra * c))).otherwise(0.0)
+    rank_sum = other * r0 + o * r1
+    s = j.groupBy("feature", F.col("b").alias("level")).agg(
+        F.first(n).alias("n"), F.first(c1).alias("c1"), F.first("k").alias("k"), F.sum(ra).alias("seen"), F.sum(rank_sum * rank_sum / ra).alias("ranks"),
+        F.sum(o * o / (ra * c1) + F.when(c0 > 0, other * other / (ra * c0)).otherwise(0.0)).alias("chi"), F.sum(share(o, c1) + share(other, c0)).alias("info"),
+    )
+    n, c1, c0, rest = F.col("n"), F.col("c1"), F.col("n") - F.col("c1"), F.col("n") - F.col("seen")
+    both = c0 > 0
+    chi = F.when(both, F.col("chi") + rest / c0)
+    info = F.when(both, F.col("info") + F.when(rest > 0, rest / n * F.log(n / c0)).otherwise(0.0)).otherwise(0.0)
+    ties = (F.pow(c0, 3) - c0) + (F.pow(c1, 3) - c1)
+    spread = F.col("ranks") + rest * F.pow((c0 + 1) / 2, 2)
+    stat = F.when(both, (12 / (n * (n + 1)) * spread - 3 * (n + 1)) / (1 - ties / (n * n * n - n))).otherwise(0.0)
+    per_level = s.select(
+        "feature", "level", F.when(F.col("k") > 1, F.sqrt(F.greatest(F.lit(0.0), chi - 1))).alias("cramer_v"), F.greatest(F.lit(0.0), info).alias("mut_info"),
+        stat.alias("H"), tails.chi2_upper(stat, (F.col("k") - 1).cast("double")).alias("H_p"),
+    )
     return per_level.unionByName(_contingency_stats(pairs, ["feature"]), allowMissingColumns=True)
 
 
@@ -385,8 +430,11 @@ def mutual_info(df: DataFrame, id_col: str, columns: Sequence[str], target: str,
 def cont_class_information(df: DataFrame, columns: Sequence[str], target: str, k: int = 3) -> DataFrame:
     """``feature``, ``level``, ``mut_info`` of continuous features: each class against all others, and all classes (null level)."""
     long = melt(df, columns, {"y": F.col(f"`{target}`").cast("string")}).where("x IS NOT NULL AND y IS NOT NULL")
-    classes = long.select(F.col("y").alias("level")).distinct()
-    one = long.join(F.broadcast(classes), F.lit(True)).select(F.concat(F.lit("1"), "level", F.lit("\0"), "feature").alias("feature"), (F.col("y") == F.col("level")).cast("string").alias("y"), "x")
+    classes = long.select("y").distinct().limit(MOST_CLASSES + 1).collect()
+    if len(classes) > MOST_CLASSES:  # every row counts once for each class
+        raise ValueError(f"target {target!r} has more than {MOST_CLASSES} classes")
+    level = F.explode(F.array(*[F.lit(r.y) for r in classes]).cast("array<string>")).alias("level")
+    one = long.select("*", level).select(F.concat(F.lit("1"), "level", F.lit("\0"), "feature").alias("feature"), (F.col("y") == F.col("level")).cast("string").alias("y"), "x")
     every = one.unionByName(long.select(F.concat(F.lit("0\0"), "feature").alias("feature"), "y", "x"))
     at = F.instr("feature", "\0")
     level = F.when(F.col("feature").startswith("1"), F.substring("feature", F.lit(2), at - 2))

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.linear import cross_products
 from gridloom.functions.nulls import floatify, unify_nans
 from gridloom.functions.ranks import hashed_positions, quantiles
 from gridloom.operators.shape import melt
@@ -154,8 +155,8 @@ def fit_imputer(df: DataFrame, columns: Sequence[str], how: str = "median") -> I
 def iterative_impute(df: DataFrame, columns: Sequence[str], rounds: int = 3) -> DataFrame:
     """Missing numbers predicted from the other columns by least squares, round after round, from a median start.
 
-    A round needs one pass: the cross products of all columns over the rows where the column at
-    hand is present. The systems solved on the driver have one row a column.
+    A round needs one pass: the cross products of all columns over the rows where each column is
+    present. The systems solved on the driver have one row a column.
     """
     import numpy as np
 
@@ -169,25 +170,15 @@ def iterative_impute(df: DataFrame, columns: Sequence[str], rounds: int = 3) ->
         todo = [i for i, c in enumerate(cols) if c in start.indicators]
         if not todo:
             break
-        aggs = []
-        for i in todo:
-            seen = ~F.col(f"_m{i}")
-            xs = [F.lit(1.0)] + [current[c] for j, c in enumerate(cols) if j != i]
-            y = current[cols[i]]
-            for a in range(len(xs)):
-                aggs += [F.sum(F.when(seen, xs[a] * xs[b])).alias(f"x{i}_{a}_{b}") for b in range(a + 1)]
-                aggs.append(F.sum(F.when(seen, xs[a] * y)).alias(f"y{i}_{a}"))
-        row = out.agg(*aggs).first()
+        p = len(cols)
+        grams = cross_products(out, [F.lit(1.0), *[current[c] for c in cols]], [~F.col(f"_m{i}") for i in todo])
         new = {}
-        for i in todo:
-            p = len(cols)
-            m = np.array([[row[f"x{i}_{max(a, b)}_{min(a, b)}"] or 0.0 for b in range(p)] for a in range(p)])
-            v = np.array([row[f"y{i}_{a}"] or 0.0 for a in range(p)])
+        for i, g in zip(todo, grams):
+            at = [0, *[j + 1 for j in range(p) if j != i]]
+            m, v = g[np.ix_(at, at)], g[at, i + 1]
             coef = np.linalg.lstsq(m + 1e-9 * np.eye(p) * max(1.0, np.trace(m) / p), v, rcond=None)[0]
-            xs = [current[c] for j, c in enumerate(cols) if j != i]
-            guess = F.lit(float(coef[0]))
-            for k, x in zip(coef[1:], xs):
-                guess = guess + float(k) * x
+            xs = F.array(*[current[c] for j, c in enumerate(cols) if j != i])
+            guess = F.aggregate(F.zip_with(xs, F.array(*[F.lit(float(k)) for k in coef[1:]]), lambda x, k: x * k), F.lit(float(coef[0])), lambda a, t: a + t)
             new[cols[i]] = F.when(F.col(f"_m{i}"), guess).otherwise(q(cols[i]))
         out = out.withColumns(new)
     return out.drop(*[f"_m{i}" for i in range(len(cols))])

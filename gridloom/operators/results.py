@@ -149,18 +149,22 @@ def bin_join(df: DataFrame, x: str, bins: DataFrame, low: str, high: str) -> Dat
 def nearest(df: DataFrame, id_col: str, vector: str, queries: DataFrame, k: int = 5, metric: str = "l2", most_queries: int = 65_536) -> DataFrame:
     """The k nearest rows of each query: ``query_id``, ``id``, ``distance``, ``rank``; ties by identifier.
 
-    ``queries``: ``query_id`` and ``vector``, up to ``most_queries`` (checked; run larger sets in parts).
-    They are broadcast once; each task streams its rows against them in blocks and keeps k rows a
-    query, which are merged by rank. Metrics: ``l2``, ``cosine``, ``correlation``. Rows without a vector are left out.
+    ``queries``: ``query_id`` and ``vector``, any number; they are taken in parts of about
+    ``most_queries``, told by a hash of ``query_id``. A part is broadcast once; each task streams its
+    rows against it in blocks and keeps k rows a query, which are merged by rank. Metrics: ``l2``, ``cosine``, ``correlation``. Rows without a vector are left out.
     """
     import numpy as np
     import pyarrow as pa
 
-    found = queries.where(F.col("vector").isNotNull()).limit(most_queries + 1).collect()
-    if len(found) > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    if not found:
+    asked = queries.where(F.col("vector").isNotNull())
+    n = asked.count()
+    if not n:
         return df.sparkSession.createDataFrame([], "query_id long, id long, distance double, rank int")
+    if n > most_queries:
+        parts = -(-n // most_queries) * 2
+        own = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+        return reduce(DataFrame.unionByName, [nearest(df, id_col, vector, part, k, metric, 1 << 62) for part in own])
+    found = asked.collect()
 
     def unit(m: np.ndarray) -> np.ndarray:
         if metric == "correlation":
@@ -188,7 +192,13 @@ def nearest(df: DataFrame, id_col: str, vector: str, queries: DataFrame, k: int
                     d = np.sqrt(np.maximum(0, (qs**2).sum(1)[:, None] + (part**2).sum(1) - 2 * qs @ part.T))
                 else:
                     d = 1 - qs @ part.T
-                d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(own, d.shape)])
+                i = np.broadcast_to(own, d.shape)
+                if d.shape[1] > 4 * k:  # all up to the k-th distance, ties with it included, then only these are sorted
+                    limit = np.partition(d, k - 1, axis=1)[:, k - 1]
+                    width = int((d <= limit[:, None]).sum(1).max())
+                    near = np.argpartition(d, width - 1, axis=1)[:, :width] if width < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+                    d, i = np.take_along_axis(d, near, 1), np.take_along_axis(i, near, 1)
+                d, i = np.hstack([best_d, d]), np.hstack([best_i, i])
                 order = np.lexsort((i, d), axis=1)[:, :k]
                 best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
         ok = np.isfinite(best_d)

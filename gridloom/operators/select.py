@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gridloom.functions.linear import cross_products
 from gridloom.functions.ranks import hash_order
 
 # Share, least and most of the features that are kept by default.
@@ -101,14 +101,8 @@ def gram(df: DataFrame, id_col: str, features: Sequence[str], target: str, folds
     rows = df.select(F.col(id_col), *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).dropna()
     means = rows.agg(*[F.avg(f"`{c}`") for c in cols]).first()
     shifted = [F.lit(1.0)] + [F.col(f"`{c}`") - F.lit(float(m or 0.0)) for c, m in zip(cols, means)]
-    fold = (F.conv(F.substring(hash_order(seed, id_col), 1, 8), 16, 10).cast("long") % folds).cast("int")
-    pairs = list(itertools.combinations_with_replacement(range(len(shifted)), 2))
-    sums = rows.groupBy(fold.alias("fold")).agg(*[F.sum(shifted[i] * shifted[j]).alias(f"s{k}") for k, (i, j) in enumerate(pairs)]).collect()
-    out = [np.zeros((len(shifted), len(shifted))) for _ in range(folds)]
-    for r in sums:
-        for k, (i, j) in enumerate(pairs):
-            out[r.fold][i, j] = out[r.fold][j, i] = r[f"s{k}"]
-    return out
+    fold = F.conv(F.substring(hash_order(seed, id_col), 1, 8), 16, 10).cast("long") % folds
+    return cross_products(rows, shifted, [fold == k for k in range(folds)])
 
 
 def cv_r2(grams: Sequence[np.ndarray], chosen: Sequence[int], ridge: float = 1e-8) -> float:

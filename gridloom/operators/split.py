@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.ranks import hashed_positions, value_counts
+from gridloom.functions.skew import lookup
 
 SEED = 69
+#: Groups times classes that the driver holds.
+CELLS = 1 << 20
 
 
 def split_label(df: DataFrame, targets: Sequence[str], least: int = 20, name: str = "label") -> tuple[DataFrame, list[str]]:
@@ -47,36 +51,29 @@ def contiguous_folds(df: DataFrame, id_col: str, k: int, name: str = "fold") ->
 def group_folds(df: DataFrame, group: str, k: int, y: str | None = None, seed: int = SEED, name: str = "fold", singly: int = 4096) -> DataFrame:
     """Folds that keep groups whole, of near-equal size (and near-equal class shares if ``y`` is given).
 
-    The ``singly`` largest groups are dealt one by one on the driver to the fold where they do least
-    harm, a number that bounds what the driver holds; all smaller ones are dealt round by round in
+    The ``singly`` largest groups (fewer with very many classes, so that groups times classes stay
+    within ``CELLS``) are dealt one by one on the driver to the fold where they do least harm; all smaller ones are dealt round by round in
     hash order within their size band, which evens out the rest. A missing group is one group.
     """
     g = F.coalesce(F.col(group).cast("string"), F.lit("\0missing"))
     sizes = df.groupBy(g.alias("_g")).agg(F.count("*").alias("n"))
-    big = sizes.orderBy(F.desc("n"), "_g").limit(singly)
+    n_classes = df.agg(F.count_distinct(F.coalesce(F.col(y).cast("string"), F.lit("None")))).first()[0] if y else 1
+    big = sizes.orderBy(F.desc("n"), "_g").limit(min(singly, CELLS // max(1, n_classes)))
     dealt: dict[str, int] = {}
     if y:
         per = df.groupBy(g.alias("_g"), F.col(y).cast("string").alias("c")).agg(F.count("*").alias("n"))
         rows = per.join(F.broadcast(big.select("_g")), "_g", "left_semi").collect()
-        classes = sorted({str(r.c) for r in rows})
-        table: dict[str, dict[str, int]] = {}
+        at = {c: i for i, c in enumerate(sorted({str(r.c) for r in rows}))}
+        table: dict[str, np.ndarray] = {}
         for r in rows:
-            table.setdefault(r._g, {})[str(r.c)] = r.n
-        load = [[0] * len(classes) for _ in range(k)]
-        total = [max(1, sum(t.get(c, 0) for t in table.values())) for c in classes]
-        for key in sorted(table, key=lambda x: (-max(table[x].values()), -sum(table[x].values()), x)):
-            own = [table[key].get(c, 0) for c in classes]
-
-            def harm(f: int) -> tuple[float, int]:
-                worst = 0.0
-                for j in range(len(classes)):
-                    share = [(load[i][j] + (own[j] if i == f else 0)) / total[j] for i in range(k)]
-                    mean = sum(share) / k
-                    worst += sum((s - mean) ** 2 for s in share) / k
-                return worst, sum(load[f])
-
-            f = min(range(k), key=harm)
-            load[f] = [a + b for a, b in zip(load[f], own)]
+            table.setdefault(r._g, np.zeros(len(at)))[at[str(r.c)]] = r.n
+        total = np.maximum(1.0, sum(table.values())) if table else np.ones(0)
+        load = np.zeros((k, len(at)))
+        for key in sorted(table, key=lambda x: (-table[x].max(), -table[x].sum(), x)):
+            # The spread of the classes' shares over the folds grows least where the group's classes are rarest so far.
+            harm = load @ (table[key] / total**2)
+            f = min(range(k), key=lambda i: (round(harm[i], 12), load[i].sum(), i))
+            load[f] += table[key]
             dealt[key] = f
     else:
         fold_load = [0] * k
@@ -89,23 +86,43 @@ def group_folds(df: DataFrame, group: str, k: int, y: str | None = None, seed: i
     rest = sizes.join(F.broadcast(first), "_g", "left_anti").withColumn("_band", F.floor(F.log2("n")))
     rest = hashed_positions(rest, ["_band"], seed, "_g", "_pos").select("_g", ((F.col("_pos") - 1) % k).cast("int").alias("_f"))
     folds = first.unionByName(rest)
-    return df.withColumn("_g", g).join(folds, "_g").withColumn(name, F.col("_f")).drop("_g", "_f")
+    return lookup(df.withColumn("_g", g), folds, "_g").withColumn(name, F.col("_f")).drop("_g", "_f")
 
 
 def degenerate(df: DataFrame, fold: str, y: str, train_min: int = 8, test_min: int = 2) -> DataFrame:
-    """Folds that can't be used, with the reason: a single class in train or test, or too few rows of a class."""
+    """Folds that can't be used, with the reason: a single class in train or test, or too few rows of a class.
+
+    Any number of classes. A fold's least class in train is either one of its own less its rows there,
+    or the least class of all.
+    """
     counts = df.groupBy(F.col(fold).alias("fold"), F.col(y).alias("c")).agg(F.count("*").alias("n"))
     total = counts.groupBy("c").agg(F.sum("n").alias("t"))
-    every = counts.select("fold").distinct().join(F.broadcast(total.limit(10_000)), F.lit(True))  # classes are few: bounded above
-    j = every.join(counts, ["fold", "c"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    g = j.groupBy("fold").agg(
-        F.count_if(F.col("t") - F.col("n") > 0).alias("train_classes"), F.count_if(F.col("n") > 0).alias("test_classes"), F.min(F.col("t") - F.col("n")).alias("train_least"),
-        F.min(F.when(F.col("n") > 0, F.col("n"))).alias("test_least"),
-    )
+    every = total.agg(F.count("*").alias("classes"), F.min("t").alias("least"))  # one row
+    g = counts.join(total, "c").groupBy("fold").agg(
+        F.count_if(F.col("t") == F.col("n")).alias("gone"), F.count("*").alias("test_classes"), F.min(F.col("t") - F.col("n")).alias("own_least"), F.min("n").alias("test_least"),
+    ).crossJoin(F.broadcast(every))
+    g = g.withColumns({"train_classes": F.col("classes") - F.col("gone"), "train_least": F.least("own_least", "least")})
     reason = F.when(F.col("train_classes") <= 1, "one class in train").when(F.col("test_classes") <= 1, "one class in test").when(F.col("train_least") < train_min, "too few in train").when(F.col("test_least") < test_min, "too few in test")
     return g.withColumn("reason", reason).where("reason IS NOT NULL").select("fold", "reason")
 
 
+def usable_folds(df: DataFrame, id_col: str, y: str | None, k: int, group: str | None = None, seed: int = SEED, name: str = "fold") -> tuple[DataFrame, list[str]]:
+    """Folds by group where there is one; should one of them be degenerate, folds by class instead, and if these are too, folds of rows alone. Returns what was given up, too."""
+    notes: list[str] = []
+    if group:
+        folded = group_folds(df, group, k, y, seed, name)
+        bad = degenerate(folded, name, y).limit(1).collect() if y else []
+        if not bad:
+            return folded, notes
+        notes.append(f"folds of whole groups can't be used: {bad[0].reason}")
+    folded = stratified_folds(df, id_col, y, k, seed, name)
+    bad = degenerate(folded, name, y).limit(1).collect() if y else []
+    if bad:
+        notes.append(f"folds by class can't be used: {bad[0].reason}")
+        folded = stratified_folds(df, id_col, None, k, seed, name)
+    return folded, notes
+
+
 def holdout(df: DataFrame, id_col: str, y: str | None, train: float = 0.6, seed: int = SEED, name: str = "is_train") -> DataFrame:
     """``name`` 1 for the train share of each class, rounded per class; reproducible."""
     placed = hashed_positions(df, [y] if y else [], seed, id_col, "_pos")
@@ -155,11 +172,11 @@ def balanced_bootstrap(df: DataFrame, id_col: str, y: str, n: int, repeats: int,
     nothing but the draws travels.
     """
     placed = hashed_positions(df.where(F.col(y).isNotNull()), [y], seed, id_col, "_pos")
-    classes = [r[0] for r in df.where(F.col(y).isNotNull()).select(y).distinct().limit(10_001).collect()]
     sizes = placed.groupBy(F.col(y).alias("_c")).agg(F.max("_pos_of").alias("_size"))
+    sizes = hashed_positions(sizes, [], seed, "_c", "_class")  # classes by number, any number of them
     draws = df.sparkSession.range(repeats * n).select((F.col("id") % repeats).cast("int").alias("repeat"), F.floor(F.col("id") / repeats).cast("int").alias("draw"))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "repeat", "draw", F.lit(0)), F.lit(len(classes))) + 1
-    draws = draws.withColumn("_c", F.element_at(F.array(*[F.lit(c) for c in sorted(classes)]), pick.cast("int"))).join(sizes, "_c")
+    draws = draws.withColumn("_pick", F.pmod(F.xxhash64(F.lit(seed), "repeat", "draw", F.lit(0)), F.lit(max(1, sizes.count()))) + 1)
+    draws = draws.join(sizes, F.col("_pick") == F.col("_class")).drop("_pick", "_class", "_class_of")
     draws = draws.withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), "repeat", "draw", F.lit(1)), F.col("_size")) + 1)
     return draws.join(placed, (F.col("_c") == F.col(y)) & (F.col("_at") == F.col("_pos"))).drop("_c", "_size", "_at", "_pos", "_pos_of")
 

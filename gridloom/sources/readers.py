@@ -79,8 +79,8 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",") -> tuple[Data
     """A CSV with a header, and the options its preamble holds (none if there is no preamble).
 
     A plain CSV is read by Spark's reader as it is. With a preamble, which must end within its
-    first lines, the lines before the header are dropped from the file's text by their content, and
-    the rest parsed; blank lines are skipped.
+    first lines, the lines up to the header are dropped from the file's text by their place, and the
+    rest parsed; blank lines are skipped.
     """
     head = [r.value for r in spark.read.text(path).limit(200).collect()]
     args, at = preamble(head, separator)
@@ -91,12 +91,16 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",") -> tuple[Data
         return reader.option("header", "true").csv(path), args
     if at >= len(head):
         return spark.createDataFrame([], "empty string"), args
-    header = head[at]
-    skipped = [line for line in head[:at] if not _is_blank(line, separator)]
-    value = F.col("value")
-    text = spark.read.text(path).where((F.trim(F.regexp_replace(value, re.escape(separator), "")) != "") & ~value.isin([*skipped, header]))
-    names = [c.strip().strip('"') for c in header.split(separator)]
-    body = reader.csv(text.rdd.map(lambda r: r.value))
+    text = spark.read.text(path)
+    if len(text.inputFiles()) > 1:
+        raise ValueError("options before the header need a single file")
+    # The lines up to the header are the first ones of the file's first block, known by their place, not by what they hold.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    head_line = (F.col("_metadata.file_block_start") == 0) & (place <= at)
+    text = text.where(~head_line).select("value").where(F.trim(F.translate("value", separator, "")) != "")
+    names = [c.strip().strip('"') for c in head[at].split(separator)]
+    own = spark._jsparkSession.read().option("sep", separator).option("inferSchema", "true")
+    body = DataFrame(own.csv(getattr(text._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())), spark)
     return body.toDF(*names), args
 
 

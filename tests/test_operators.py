@@ -64,7 +64,7 @@ def test_running_sums_with_heavy_ties(spark, seed):
     r = np.random.default_rng(seed)
     x = np.where(r.random(2000) < 0.5, 0.5, r.integers(0, 40, 2000) / 40)
     pdf = pd.DataFrame({"k": r.integers(0, 2, 2000).astype(str), "x": x, "id": r.permutation(2000), "v": r.integers(0, 2, 2000)})
-    got = ranks.running_sums(spark.createDataFrame(pdf), ["k"], "x", "id", {"s": F.col("v")}, 16).toPandas().set_index("id")
+    got = ranks.running_sums(spark.createDataFrame(pdf), ["k"], "x", "id", {"s": F.col("v")}).toPandas().set_index("id")
     want = pdf.sort_values(["x", "id"])
     want["i"], want["s"] = want.groupby("k").cumcount() + 1, want.groupby("k")["v"].cumsum()
     want = want.set_index("id")
@@ -76,7 +76,7 @@ def test_ranks_and_quantiles(spark, seed):
     r = np.random.default_rng(seed)
     x = np.round(r.normal(size=500), 1)
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
-    got = {row.x: row.avg_rank for row in ranks.value_counts(df, [], "x", buckets=8).collect()}
+    got = {row.x: row.avg_rank for row in ranks.value_counts(df, [], "x").collect()}
     want = pd.Series(x).rank()
     assert all(np.isclose(got[a], b) for a, b in zip(x, want))
     q = ranks.quantiles(df, [], "x", {"a": 0.05, "b": 0.5, "c": 1.0}).first()
@@ -181,6 +181,8 @@ def test_confusion_scores(spark, seed):
 def test_bins_merge_and_stay_monotonic():
     assert adaptive.merge_bins([0, 1, 2, 3], [5, 1, 1], [1, 1, 0], 3) == ([0, 3], [7], [2])
     assert adaptive.merge_bins([0, 1, 2], [1, 1], [0, 1], 5) == ([0, 2], [2], [1])
+    assert adaptive.merge_bins([0, 1, 2, 3, 4], [3, 0, 4, 0], [1, 0, 2, 0], 3) == ([0, 1, 4], [3, 4], [1, 2])
+    assert adaptive.merge_bins([0, 1, 2], [0, 0], [0, 0], 1) == ([0, 2], [0], [0])
     out = adaptive.decreasing(np.array([0.1, 0.4, 0.2]), np.array([1.0, 1.0, 2.0]))
     assert (np.diff(out) <= 1e-12).all() and np.isclose(out[1], (0.1 + 0.4) / 2 if out[0] == out[1] != out[2] else out[1])
 
@@ -310,6 +312,19 @@ def test_stepwise_finds_the_signal(spark):
     assert select.n_select("cont", 100) == 20 and select.n_select("cat", 3) == 3 and select.n_select("total", 10, 0.25) == 3
 
 
+def test_wide_tables(spark):
+    """500 columns are one pass with an expression a column."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(300, 500))
+    names = [f"c{i}" for i in range(500)]
+    pdf = pd.DataFrame(x, columns=names).assign(i=np.arange(300), y=x[:, 7] * 2 + 0.01 * r.normal(size=300))
+    grams = select.gram(spark.createDataFrame(pdf), "i", names, "y", 2)
+    total = sum(grams)
+    assert total.shape == (502, 502) and total[0, 0] == 300
+    z = np.c_[np.ones(300), x - x.mean(0), pdf["y"] - pdf["y"].mean()]
+    assert np.allclose(total, z.T @ z)
+
+
 def test_models_beat_the_dummy(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(300, 2))

@@ -61,3 +61,29 @@ def test_tables_end_with_their_scope(spark):
         at = Path(t.inputFiles()[0].removeprefix("file://"))
         assert at.exists() and t.count() == 3
     assert not at.exists()
+
+
+def test_ranks_of_many_classes(spark, monkeypatch):
+    """More classes than get a column each give the same statistics."""
+    from gridloom.operators import associate
+
+    r = random.Random(5)
+    rows = [(r.choice([None, 0.0, 1.0, r.random()]), r.random(), r.choice("abcde")) for _ in range(500)]
+    df = spark.createDataFrame(rows, "u double, v double, y string")
+    few = {(x.feature, x.level): x for x in associate.cont_class_ranks(df, ["u", "v"], "y").collect()}
+    monkeypatch.setattr(associate, "COUNTED", 2)
+    many = {(x.feature, x.level): x for x in associate.cont_class_ranks(df, ["u", "v"], "y").collect()}
+    assert few.keys() == many.keys() and len(few) == 10
+    for k, x in few.items():
+        assert tuple(x)[2:] == pytest.approx(tuple(many[k])[2:]), k
+
+
+def test_no_class_is_cut(spark):
+    from gridloom.operators import associate, split
+
+    df = spark.range(24_000).selectExpr("id", "cast(id % 2 as string) a", "cast(id div 2 as string) y", "cast(id % 3 as int) fold", "double(id) v")
+    assert associate.cat_class(df, ["a"], "y").where("level IS NOT NULL").count() == 12_000
+    assert associate.cont_class_ranks(df, ["v"], "y").count() == 12_000
+    assert {r.reason for r in split.degenerate(df, "fold", "y", 1, 2).collect()} == {"too few in train", "too few in test"} or split.degenerate(df, "fold", "y", 1, 2).count() == 3
+    assert split.balanced_bootstrap(df, "id", "y", 50, 2).count() == 100
+    assert split.group_folds(df, "a", 2, "y").count() == 24_000

@@ -22,6 +22,13 @@ def test_csv_with_options(spark, tmp_path, head, want):
     assert sorted(r.y for r in df.collect()) == [0, 1]
 
 
+def test_rows_like_the_header_stay(spark, tmp_path):
+    f = tmp_path / "t.csv"
+    f.write_text("--target y\n\nx,y\na,b\nx,y\n--target y,\n-1,2\n")
+    df, args = readers.read_csv(spark, str(f))
+    assert args == ["--target", "y"] and sorted((r.x, r.y) for r in df.collect()) == [("--target y", None), ("-1", "2"), ("a", "b"), ("x", "y")]
+
+
 def test_json_kinds(spark, tmp_path):
     rows = [{"a": 1}, {"a": 2}]
     (tmp_path / "l.jsonl").write_text("\n".join(map(json.dumps, rows)))
