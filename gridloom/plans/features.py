@@ -6,6 +6,7 @@ from gridloom.functions.nulls import NAN_STRINGS, null_profile
 from gridloom.operators import associate as A
 from gridloom.operators import describe as D
 from gridloom.plans.common import long_sql, rounded, rounded_sql, table
+from gridloom.plans.oracles import information_class, information_numbers
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PREP_NUM = ["a2", "a3", "a11", "a14", "a15"]
@@ -30,8 +31,8 @@ QUERIES = {
     "assoc_kruskal": lambda s, d: rounded(A.kruskal(table(s, d, "prep_rows"), PREP_CAT, "a15").select("feature", "H"), 5),
     "assoc_cat_class": lambda s, d: rounded(A.cat_class(table(s, d, "orders"), ["o_orderpriority"], "o_orderstatus").drop("H_p")),
     "relative_entropy": lambda s, d: rounded(A.relative_entropy(table(s, d, "prep_rows").where("ix_train IS NOT NULL"), table(s, d, "prep_rows").where("ix_tests IS NOT NULL"), "target")),
-    "mutual_info_class": lambda s, d: A.mutual_info(table(s, d, "prep_rows"), "row_id", PREP_NUM, "target", True),
-    "mutual_info_reg": lambda s, d: A.mutual_info(table(s, d, "prep_rows"), "row_id", PREP_NUM[:-1], "a15", False),
+    "mutual_info_class": lambda s, d: rounded(A.mutual_info(table(s, d, "prep_rows"), "row_id", PREP_NUM, "target", True)),
+    "mutual_info_reg": lambda s, d: rounded(A.mutual_info(table(s, d, "prep_rows"), "row_id", PREP_NUM[:-1], "a15", False)),
 }
 
 _NANS = ", ".join(f"'{x}'" for x in NAN_STRINGS)
@@ -83,6 +84,8 @@ SELECT feature, any_value(k) AS n_levels, CAST(any_value(nn) AS BIGINT) AS nans,
   -sum(c / total * ln(c / total)) / ln(any_value(k)) AS n_entropy FROM t GROUP BY feature""",
         ["nan_freq", "med_freq", "min_freq", "max_freq", "heterog", "heterog_freq", "n_entropy"], 5,
     ),
+    "mutual_info_class": rounded_sql(information_class(f"SELECT * FROM ({long_sql('prep_rows', PREP_NUM, keep='target AS y')}) WHERE x IS NOT NULL AND y IS NOT NULL"), ["mut_info"]),
+    "mutual_info_reg": rounded_sql(information_numbers(PREP_NUM[:-1], "a15"), ["mut_info"]),
     "inflation": rounded_sql(
         f"SELECT feature, avg((c < 20)::INT) AS inflation, count(*) AS n_levels FROM (SELECT feature, v, count(*) AS c FROM ({long_sql('part', ['p_brand', 'p_type', 'p_size'], cast='VARCHAR', value='v')}) WHERE v IS NOT NULL GROUP BY 1, 2) GROUP BY feature",
         ["inflation"],

@@ -14,7 +14,9 @@ from gridloom.operators import prepare as P
 from gridloom.operators import results as R
 from gridloom.operators import select as F_
 from gridloom.operators import split as X
+from gridloom.operators.shape import melt
 from gridloom.plans.common import long_sql, rounded, rounded_sql, table
+from gridloom.plans.oracles import associations_sql, infer_sql, prepare_sql, profile_sql
 
 NUM = ["a2", "a3", "a11", "a14", "a15"]
 CAT = ["a1", "a4", "a5", "a7", "a8"]
@@ -81,7 +83,7 @@ def _inferred(s, d):
 def _prepared(s, d):
     t = table(s, d, "prep_rows")
     p = P.prepare(t.withColumns({c: plain_or_null(c) for c in (*CAT, "target")}), ["target"], NUM, CAT, True, "g_raw")
-    return rounded(p.df.select("row_id", "target", *[f"`{c}`" for c in p.features]))
+    return rounded(melt(p.df, p.features, {"row_id": F.col("row_id"), "target": F.col("target")}))
 
 
 def _group_folds(s, d):
@@ -90,7 +92,7 @@ def _group_folds(s, d):
 
 
 def _associations(s, d):
-    return A.associations(table(s, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_linestatus", "l_linenumber"], "l_returnflag", True)
+    return A.associations(table(s, d, "prep_rows"), NUM, CAT, "target", True)
 
 
 def _stepwise(s, d, forward=True):
@@ -182,14 +184,14 @@ QUERIES = {
     "grouped_holdout": lambda s, d: X.grouped_holdout(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", "o_orderstatus"),
     "subsample": lambda s, d: X.subsample(_prep(s, d).select("row_id", "target"), "row_id", "target", 600),
     "degenerate_folds": lambda s, d: X.degenerate(_prep(s, d).withColumn("fold", F.coalesce("test_no", F.lit(-1))).where("target IS NOT NULL"), "fold", "target", 10, 200),
-    "filter_association": lambda s, d: F_.by_association(_associations(s, d), "mut_info", 3, 2),
+    "filter_association": lambda s, d: rounded(F_.by_association(_associations(s, d), "mut_info", 3, 2)),
     "univariate_predictions": lambda s, d: L.univariate_predictions(table(s, d, "prep_rows"), "row_id", NUM, "target", True),
     "filter_prediction": lambda s, d: F_.by_prediction(L.univariate_predictions(table(s, d, "prep_rows"), "row_id", NUM[:-1], "a15", False), "mae", False, 3),
     "dummy_class": lambda s, d: rounded(L.dummy_scores(_prep(s, d), "target", True)),
     "dummy_number": lambda s, d: rounded(L.dummy_scores(table(s, d, "orders"), "o_totalprice", False), 3),
     "borda": lambda s, d: rounded(F_.borda(_selections(s, d))),
     "mean_scores": lambda s, d: rounded(F_.mean_scores(_selections(s, d))),
-    "select_over_targets": lambda s, d: F_.aggregate_selections(_selections(s, d)),
+    "select_over_targets": lambda s, d: rounded(F_.aggregate_selections(_selections(s, d))),
     "stepwise_forward": _stepwise,
     "stepwise_backward": lambda s, d: _stepwise(s, d, False),
     "embedded_selection": _embedded,
@@ -240,6 +242,10 @@ _PIV = "SELECT model, feat_select, avg(acc) AS acc, avg(auc) AS auc, avg(sens) A
 ORACLE = {
     "unify_nans": f"SELECT row_id, {', '.join(_unified(c) for c in (*CAT, 'g_raw', 'target'))} FROM prep_rows",
     "floatify": "SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_brand AS brand FROM part",
+    "column_profile": profile_sql([*CAT, "g_raw", "ix_train", "a2"]),
+    "infer_types": infer_sql(["row_id", "study", "ix_train", "ix_tests", "test_no", *[f"a{i}" for i in range(1, 16)], "loaded_at"], ["loaded_at"]),
+    "prepare": prepare_sql(),
+    "filter_association": rounded_sql(associations_sql(), ["score"]),
     "inspect_target_class": rounded_sql(
         f"WITH {_PREP}, c AS (SELECT target, count(*) AS k FROM p GROUP BY target) SELECT max(k) FILTER (WHERE target IS NOT NULL) / sum(k) AS p_max, min(k) FILTER (WHERE target IS NOT NULL) / sum(k) AS p_min, coalesce(sum(k) FILTER (WHERE target IS NULL), 0) / sum(k) AS p_nan, count(target) AS n_classes FROM c",
         ["p_max", "p_min", "p_nan"],
@@ -299,8 +305,15 @@ a AS (SELECT feature, sum(n - r + 1) AS points, count(DISTINCT target) AS suppor
         "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT q.vec_id AS query_id, e.vec_id AS id, list_distance(q.v, e.v) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, e.v), e.vec_id) AS INT) AS rank FROM e, e q WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5",
         ["distance"], 4,
     ),
+    "knn_predict": rounded_sql(
+        f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+z AS (SELECT q.vec_id AS query_id, e.label, list_distance(q.v, e.v) AS d FROM e, e q WHERE q.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, e.v), e.vec_id) <= 5),
+w AS (SELECT query_id, label, count(*) AS k, min(d) AS d FROM z GROUP BY 1, 2) SELECT query_id, arg_min(label, {{'a': -k, 'b': label}}) AS y_pred, max(k) / sum(k) AS vote, min(d) AS min_dist FROM w GROUP BY query_id""",
+        ["vote", "min_dist"], 4,
+    ),
     "cosine": rounded_sql("SELECT vec_id, CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS cosine FROM embeddings", ["cosine"], 5),
 }
+ORACLE["select_over_targets"] = f"SELECT feature, score FROM ({ORACLE['borda']})"
 ORACLE["normalize"] = rounded_sql(
     f"SELECT row_id, {', '.join(f'CASE WHEN {c} IS NOT NULL THEN ({_clip(c, c)} - {_clip(c, f'{c}_min')}) / ({_clip(c, f'{c}_max')} - {_clip(c, f'{c}_min')}) END AS {c}' for c in NUM)} FROM prep_rows, (SELECT {_Q} FROM prep_rows)", NUM
 )

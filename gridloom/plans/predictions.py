@@ -10,6 +10,7 @@ from gridloom.operators import adaptive as E
 from gridloom.operators import ensemble as N
 from gridloom.operators import score as S
 from gridloom.plans.common import rounded, rounded_sql, table
+from gridloom.plans.oracles import bins_sql, crossfit_sql, risk_sql
 
 SRC = ["source"]
 TARGETS = (0.5, 0.8, 0.95)
@@ -80,8 +81,8 @@ QUERIES = {
     "drift_rate": lambda s, d: rounded(S.drift_rate(samples(s, d).where("p_max + p_2nd <= 1.0").select("y_pred", F.array("p_max", "p_2nd").alias("proba")), "proba", "y_pred")),
     "threshold_accuracies": lambda s, d: rounded(S.threshold_accuracies(samples(s, d), [], "confidence", ~_wrong())),
     "aer_bins": lambda s, d: rounded(_bins(s, d, min_count=20, smooth=False).drop("raw_error")),
-    "aer_bins_smooth": lambda s, d: _bins(s, d, monotonic=True),
-    "aer_bins_adaptive": lambda s, d: _bins(s, d, adaptive=True),
+    "aer_bins_smooth": lambda s, d: rounded(_bins(s, d, monotonic=True)),
+    "aer_bins_adaptive": lambda s, d: rounded(_bins(s, d, adaptive=True)),
     "aer_lookup": lambda s, d: rounded(E.expected_error(samples(s, d).select("sample_id", "source", "confidence"), SRC, "confidence", _bins(s, d, min_count=20, smooth=False), "expected").select("sample_id", "expected")),
     "error_bins": lambda s, d: rounded(E.error_bins(samples(s, d), SRC, "confidence", "aer", _wrong(), 5), 10),
     "coverage_curve": lambda s, d: rounded(_curve(s, d)),
@@ -93,7 +94,7 @@ QUERIES = {
     "confidence_minmax": lambda s, d: rounded(E.fit_transform_confidence(samples(s, d).select("sample_id", "source", "p_margin"), SRC, "p_margin", "minmax").select("sample_id", "confidence")),
     "confidence_exp": lambda s, d: rounded(E.fit_transform_confidence(samples(s, d).select("sample_id", "source", "p_margin"), SRC, "p_margin", "exp_gamma").select("sample_id", "confidence")),
     "confidence_metrics": lambda s, d: rounded(E.confidence_metrics(stack(s, d).select("row_id", "model", "proba"), "proba").drop("proba")),
-    "select_confidence": lambda s, d: E.select_confidence(samples(s, d), "sample_id", ["p_max", "p_margin", "confidence"], _wrong()),
+    "select_confidence": lambda s, d: rounded(E.select_confidence(samples(s, d), "sample_id", ["p_max", "p_margin", "confidence"], _wrong())),
     "best_per_model": lambda s, d: rounded(E.best_per_model(table(s, d, "tuning_results").select(plain("model").alias("model"), "auc", "result_id").where("auc <= 1"), "model", "auc", "result_id")),
     **{f"ensemble_{k}": _ensemble(k) for k in N.STRATEGIES},
 }
@@ -130,6 +131,8 @@ l AS (SELECT source, max(grp) FILTER (WHERE done) AS last FROM rec GROUP BY sour
 m AS (SELECT f.source, least(grp, coalesce(last, 0)) AS bin, min(f.i) AS i0, max(f.i) AS i1, any_value(f.b) AS b, sum(c) AS n, sum(w) AS e FROM rec JOIN f ON f.source = rec.source AND f.i = rec.i JOIN l ON l.source = f.source GROUP BY 1, 2),
 fit AS (SELECT m.source, CAST(bin AS INT) AS bin, i0 * (1.0::DOUBLE / m.b) AS bin_left, CASE WHEN i1 = m.b - 1 THEN 1.0 ELSE (i1 + 1) * (1.0::DOUBLE / m.b) END AS bin_right, m.n, m.e,
   CASE WHEN m.n > 0 THEN (m.e + 2.0 * least(greatest(b.e / b.n, 1e-6), 1 - 1e-6)) / (m.n + 2.0) ELSE b.e / b.n END AS expected_error FROM m JOIN b ON b.source = m.source)"""
+_CLIPPED = "SELECT source, least(1.0, greatest(0.0, confidence)) AS c, wrong FROM s WHERE confidence >= 0 AND confidence <= 1"
+_CANDIDATES = " UNION ALL ".join(f"SELECT sample_id, '{c}' AS source, least(1.0, greatest(0.0, {c})) AS c, wrong FROM s WHERE {c} IS NOT NULL AND NOT isnan({c})" for c in ("p_max", "p_margin", "confidence"))
 _STACK = """k AS (SELECT * FROM (VALUES (0, 'bag'), (1, 'dtree'), (2, 'rf'), (3, 'svm')) t(k, model)),
 a AS (SELECT row_id, model, 0.6 + 0.05 * k AS acc, ((row_id * 7 + k * 131) % 101) / 101.0::DOUBLE AS aer, ((row_id * 3 + k * 17) % 89) + 1.0::DOUBLE AS a, ((row_id * 5 + k * 29) % 83) + 1.0::DOUBLE AS b, ((row_id * 11 + k * 7) % 79) + 1.0::DOUBLE AS c FROM prep_rows, k),
 t AS (SELECT row_id, model, acc::DOUBLE AS acc, aer, a / (a + b + c) AS p0, b / (a + b + c) AS p1, c / (a + b + c) AS p2, row_number() OVER (PARTITION BY row_id ORDER BY aer, acc DESC, model) AS rk, exp(-5.0 * greatest(1e-9, least(1.0, aer))) AS x FROM a)"""
@@ -190,6 +193,11 @@ SELECT label, count(*) AS n, avg(-ln(p)) AS log_loss, avg(pow(1 - p, 2)) AS brie
         f"WITH RECURSIVE {_FIT} SELECT source, bin, bin_left, bin_right, (bin_left + bin_right) / 2 AS bin_center, CAST(n AS BIGINT) AS count, CAST(e AS BIGINT) AS error_count, expected_error, {_WILSON.format(p='(e / n)')} FROM fit",
         ["bin_left", "bin_right", "bin_center", "expected_error", "wilson_low", "wilson_high"],
     ),
+    "aer_bins_smooth": bins_sql(_S, _CLIPPED, _WILSON.format(p="(e / n)"), monotonic=True),
+    "aer_bins_adaptive": bins_sql(_S, _CLIPPED, _WILSON.format(p="(e / n)"), adaptive=True),
+    "crossfit_risk": rounded_sql(f"{crossfit_sql(_S, 'SELECT sample_id, source, confidence AS c, wrong FROM s WHERE confidence >= 0 AND confidence <= 1')} SELECT source, sample_id, fold, aer FROM risk", ["aer"]),
+    "select_confidence": rounded_sql(f"{crossfit_sql(_S, _CANDIDATES)} SELECT source AS metric, avg(pow(aer - wrong, 2)) AS brier FROM risk GROUP BY source", ["brier"]),
+    "risk_threshold": risk_sql(_S, 0.4),
     "aer_lookup": rounded_sql(
         f"""WITH RECURSIVE {_FIT}, o AS (SELECT source, sum(e) / sum(n) AS overall FROM fit GROUP BY source)
 SELECT sample_id, CASE WHEN confidence IS NULL OR isnan(confidence) OR isinf(confidence) THEN overall ELSE expected_error END AS expected
