@@ -363,6 +363,7 @@ def _nearest_in_cell(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
         d = np.sort(np.partition(d, most - 1, axis=1)[:, :most], axis=1) if most else d
         # A point of the cell finds itself first.
         near += [r[1 : k + 1].tolist() if o else r[:k].tolist() for r, o in zip(d, own[i : i + 512])]
+    near = pd.Series(near, asked.index, dtype=object)
     return pd.DataFrame({"feature": asked["feature"], "x": x, "y": y, "w": asked["w"], "sx": sx, "sy": sy, "strip": asked["strip"], "cell": asked["cell"], "near": near})
 
 

@@ -21,7 +21,7 @@ from gridloom.functions.ranks import hash_order, quantiles
 from gridloom.operators.adaptive import normalize_proba, softmax
 from gridloom.operators.score import class_scores, regression_scores
 from gridloom.operators.shape import melt
-from gridloom.operators.split import stratified_folds
+from gridloom.operators.split import stratified_folds, subsample
 
 
 @dataclass
@@ -70,49 +70,76 @@ def dummy_scores(df: DataFrame, target: str, classify: bool) -> DataFrame:
     return each.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit("mae").alias("metric"), F.col(m).alias("score")) for m in ("mean", "median")])).alias("s")).select("s.*")
 
 
-def univariate_predictions(df: DataFrame, id_col: str, columns: Sequence[str], target: str, classify: bool, rows: int = 1500, folds: int = 5, seed: int = 69) -> DataFrame:
-    """Cross-validated scores of one-feature linear models and of the dummy: ``feature``, ``model``, ``acc`` or ``mae``.
+# Metrics of one-feature models.
+UNIVARIATE = {True: ("acc", "bal-acc", "f1"), False: ("mae", "msqe", "mdae", "r2", "var-exp")}
 
-    As in the estimate of mutual information, the first ``rows`` rows in hash order serve all
-    features; a feature's models then fit one task.
+
+def _univariate_score(metric: str, y: np.ndarray, p: np.ndarray) -> float:
+    e = y - p
+    if metric in ("bal-acc", "f1"):
+        classes = np.unique(y) if metric == "bal-acc" else np.union1d(y, p)
+        hit = np.array([((y == c) & (p == c)).sum() for c in classes], float)
+        size = np.array([(y == c).sum() if metric == "bal-acc" else ((y == c).sum() + (p == c).sum()) / 2 for c in classes], float)
+        return float((hit / size).mean())
+    if metric in ("r2", "var-exp"):
+        spread = y.var()
+        return float(1 - ((e**2).mean() if metric == "r2" else e.var()) / spread) if spread > 0 else 0.0
+    return float({"acc": lambda: (e == 0).mean(), "mae": lambda: np.abs(e).mean(), "msqe": lambda: (e**2).mean(), "mdae": lambda: np.median(np.abs(e))}[metric]())
+
+
+def univariate_predictions(
+    df: DataFrame, id_col: str, columns: Sequence[str], target: str, classify: bool, rows: int = 1500, folds: int = 5, seed: int = 69,
+    categorical: Sequence[str] = (), metrics: Sequence[str] | None = None,
+) -> DataFrame:
+    """Cross-validated scores of one-feature linear models and of the dummy: ``feature``, ``model``, and a column for each of ``metrics``.
+
+    ``columns`` are numbers, missing ones being the median; ``categorical`` ones enter by their levels,
+    missing being one. The models are fitted on about ``rows`` rows, drawn by ``split.subsample``: 20 of
+    each class first, or by fifths of a numeric target, so that a feature's models fit one task.
+    ``metrics``: ``acc`` or ``mae`` by default, else of ``UNIVARIATE``.
     """
-    some = df.where(F.col(target).isNotNull()).select(F.col(id_col).alias("_id"), F.col(target).alias("_t"), *columns).withColumn("_h", hash_order(seed, "_id")).orderBy("_h").limit(rows)
-    long = melt(some, columns, {"y": F.col("_t").cast("string" if classify else "double"), "h": F.col("_h")})
-    metric = "acc" if classify else "mae"
+    metrics = list(metrics or ("acc" if classify else "mae",))
+    if unknown := set(metrics) - set(UNIVARIATE[classify]):
+        raise ValueError(f"unknown metrics: {sorted(unknown)}, not of {UNIVARIATE[classify]}")
+    some = subsample(df.select(id_col, target, *columns, *categorical), id_col, target, rows, 20, classify, seed).withColumn("_h", hash_order(seed, id_col))
+    keep = {"y": F.col(target).cast("string" if classify else "double"), "h": F.col("_h")}
+    long = melt(some, columns, keep).select("*", F.lit(None).cast("string").alias("s")) if columns else None
+    if categorical:
+        levels = melt(some, categorical, keep, cast="string", value="s").select("y", "h", "feature", F.lit(None).cast("double").alias("x"), F.coalesce("s", F.lit("nan")).alias("s"))
+        long = levels if long is None else long.unionByName(levels)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h")
-        x = pdf["x"].to_numpy(float)
-        x = np.where(np.isnan(x), np.nanmedian(x) if np.isfinite(x).any() else 0.0, x)
-        x = (x - x.mean()) / (x.std() or 1.0)
-        fold = np.arange(len(x)) % folds
-        if classify:
-            classes, y = np.unique(pdf["y"].to_numpy(str), return_inverse=True)
+        if pdf["s"].notna().any():
+            design = np.eye(pdf["s"].nunique())[np.unique(pdf["s"].to_numpy(str), return_inverse=True)[1]]
         else:
-            y = pdf["y"].to_numpy(float)
-        got = {"dummy": [], "linear": []}
-        for f in range(min(folds, len(x))):
+            x = pdf["x"].to_numpy(float)
+            x = np.where(np.isnan(x), np.nanmedian(x) if np.isfinite(x).any() else 0.0, x)
+            design = np.c_[np.ones(len(x)), (x - x.mean()) / (x.std() or 1.0)]
+        fold = np.arange(len(design)) % folds
+        y = np.unique(pdf["y"].to_numpy(str), return_inverse=True)[1] if classify else pdf["y"].to_numpy(float)
+        onehot = np.eye(y.max() + 1)[y] if classify else None
+        got = {m: {k: [] for k in metrics} for m in ("dummy", "linear")}
+        for f in range(min(folds, len(design))):
             a, b = fold != f, fold == f
             if not a.any() or not b.any():
                 continue
-            design, test = np.c_[np.ones(a.sum()), x[a]], np.c_[np.ones(b.sum()), x[b]]
             if classify:
-                onehot = np.eye(len(classes))[y[a]]
-                w = np.zeros((2, len(classes)))
+                w = np.zeros((design.shape[1], onehot.shape[1]))
                 for _ in range(200):  # full-gradient descent of the logistic loss
-                    z = design @ w
+                    z = design[a] @ w
                     z = np.exp(z - z.max(1, keepdims=True))
-                    w -= 0.5 * design.T @ (z / z.sum(1, keepdims=True) - onehot) / len(design)
-                got["linear"].append(float(((test @ w).argmax(1) == y[b]).mean()))
-                got["dummy"].append(float((np.bincount(y[a]).argmax() == y[b]).mean()))
+                    w -= 0.5 * design[a].T @ (z / z.sum(1, keepdims=True) - onehot[a]) / a.sum()
+                guess = {"linear": (design[b] @ w).argmax(1), "dummy": np.full(b.sum(), np.bincount(y[a]).argmax())}
             else:
-                beta = np.linalg.lstsq(design, y[a], rcond=None)[0]
-                got["linear"].append(float(np.abs(y[b] - test @ beta).mean()))
-                got["dummy"].append(float(np.abs(y[b] - np.median(y[a])).mean()))
+                guess = {"linear": design[b] @ np.linalg.lstsq(design[a], y[a], rcond=None)[0], "dummy": np.full(b.sum(), np.median(y[a]))}
+            for m, p in guess.items():
+                for k in metrics:
+                    got[m][k].append(_univariate_score(k, y[b], p))
         name = pdf["feature"].iloc[0]
-        return pd.DataFrame([(name, m, float(np.mean(v)) if v else np.nan) for m, v in got.items()], columns=["feature", "model", metric])
+        return pd.DataFrame([(name, m, *[float(np.mean(v[k])) if v[k] else np.nan for k in metrics]) for m, v in got.items()], columns=["feature", "model", *metrics])
 
-    return long.groupBy("feature").applyInPandas(fit, f"feature string, model string, {metric} double")
+    return long.groupBy("feature").applyInPandas(fit, f"feature string, model string, {', '.join(f'`{m}` double' for m in metrics)}")
 
 
 # Metrics of the search, by whether more is better.

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -304,6 +305,7 @@ class Prepared:
     normalizer: Normalizer | None = None
     deflater: Deflater | None = None
     one_hot: OneHot | None = None
+    indicators: list[str] = field(default_factory=list)
 
     def for_target(self, target: str) -> Prepared:
         from dataclasses import replace
@@ -338,8 +340,11 @@ def prepare(
 ) -> Prepared:
     """Missing spellings unified, targets encoded or scaled, numbers imputed with indicators, rare levels merged, levels encoded.
 
-    ``{c}_norm`` holds the normalised copy of a continuous feature where ``normalize`` is set.
+    ``nan``: ``mean`` or ``median`` fill missing numbers, ``impute`` predicts them from the other columns, ``drop``
+    drops their rows; anything else raises. ``{c}_norm`` holds the normalised copy of a continuous feature where ``normalize`` is set.
     """
+    if nan not in ("mean", "median", "impute", "drop"):
+        raise ValueError(f"unknown way to treat missing numbers: {nan}")
     rows = floatify(unify_nans(df), [c for c in continuous])
     labels: dict[str, dict[int, str]] = {}
     if classify and len(targets) == 1:
@@ -351,7 +356,14 @@ def prepare(
     gone = set(unusable(rows.select(*[q(c) for c in (*continuous, *categorical, *targets)]), targets)) if (continuous or categorical) else set()
     cont, cat = [c for c in continuous if c not in gone], [c for c in categorical if c not in gone]
     out = Prepared(rows, [], cont, cat, list(targets), group, labels)
-    if cont:
+    if cont and nan == "drop":
+        there = [q(c).isNotNull() & ~F.isnan(q(c).cast("double")) for c in cont]
+        rows = rows.where(reduce(lambda a, b: a & b, there)).withColumns({c: q(c).cast("double") for c in cont})
+    elif cont and nan == "impute":
+        gaps = fit_imputer(rows, cont).indicators
+        rows = rows.withColumns({f"{c}_NAN": (q(c).isNull() | F.isnan(q(c).cast("double"))).cast("double") for c in gaps})
+        rows, out.indicators = iterative_impute(rows, cont), gaps
+    elif cont:
         out.imputer = fit_imputer(rows, cont, nan)
         rows = out.imputer.apply(rows)
     if normalize and cont:
@@ -366,7 +378,8 @@ def prepare(
         raw = {f"{c}_raw": q(c) for c in usable}
         rows = out.one_hot.apply(rows.withColumns(raw))
     encoded = out.one_hot.names() if out.one_hot else []
-    out.features = [*cont, *[f"{c}_NAN" for c in (out.imputer.indicators if out.imputer else [])], *encoded]
+    out.indicators = out.imputer.indicators if out.imputer else out.indicators
+    out.features = [*cont, *[f"{c}_NAN" for c in out.indicators], *encoded]
     out.df = rows
     return out
 

@@ -50,8 +50,8 @@ def by_prediction(scores: DataFrame, metric: str, higher: bool, n: int, signific
     features are kept.
     """
     sign = 1 if higher else -1
-    dummy = F.max(F.when(F.col("model") == "dummy", F.col(metric)))
-    other = (F.max if higher else F.min)(F.when(F.col("model") != "dummy", F.col(metric)))
+    dummy = F.max(F.when(F.col("model") == "dummy", F.col(f"`{metric}`")))
+    other = (F.max if higher else F.min)(F.when(F.col("model") != "dummy", F.col(f"`{metric}`")))
     gains = scores.groupBy("feature").agg((sign * (other - dummy)).alias("gain")).where("gain IS NOT NULL")
     if significant_only:
         gains = gains.where("gain > 0")
@@ -91,48 +91,55 @@ def top_k(sizes: Sequence[int]) -> int:
     return int(min(80, max(5, round(float(np.median(list(sizes))))))) if sizes else 5
 
 
-def gram(df: DataFrame, id_col: str, features: Sequence[str], target: str, folds: int = 5, seed: int = 69) -> list[np.ndarray]:
+def gram(df: DataFrame, id_col: str, features: Sequence[str], target: str, folds: int = 5, seed: int = 69, classes: Sequence | None = None) -> list[np.ndarray]:
     """Cross products of (1, features, target) within each fold: all that linear models of any subset need.
 
     One pass; what reaches the driver has a row and a column for each feature. Rows with a missing
-    value are left out. Columns are shifted by their mean first, for accuracy.
+    value are left out. Columns are shifted by their mean first, for accuracy. With ``classes`` the
+    target is a column for each of them, 1 in its rows and 0 in all others.
     """
-    cols = [*features, target]
-    rows = df.select(F.col(id_col), *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).dropna()
-    means = rows.agg(*[F.avg(f"`{c}`") for c in cols]).first()
-    shifted = [F.lit(1.0)] + [F.col(f"`{c}`") - F.lit(float(m or 0.0)) for c, m in zip(cols, means)]
+    rows = df.select(F.col(id_col), *[F.col(f"`{c}`").cast("double").alias(c) for c in features], F.col(f"`{target}`").cast("double").alias(target)).dropna()
+    ys = [F.col(f"`{target}`")] if classes is None else [(F.col(f"`{target}`") == float(c)).cast("double") for c in classes]
+    cols = [*[F.col(f"`{c}`") for c in features], *ys]
+    means = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    shifted = [F.lit(1.0)] + [c - F.lit(float(m or 0.0)) for c, m in zip(cols, means)]
     fold = F.conv(F.substring(hash_order(seed, id_col), 1, 8), 16, 10).cast("long") % folds
     return cross_products(rows, shifted, [fold == k for k in range(folds)])
 
 
-def cv_r2(grams: Sequence[np.ndarray], chosen: Sequence[int], ridge: float = 1e-8) -> float:
-    """Cross-validated share of the target's variance that a linear model of the chosen features explains."""
+def cv_r2(grams: Sequence[np.ndarray], chosen: Sequence[int], ridge: float = 1e-8, targets: int = 1) -> float:
+    """Cross-validated share of the target's variance that a linear model of the chosen features explains; of several target columns, of all together."""
     total = sum(grams)
-    at, y = [0, *[c + 1 for c in chosen]], total.shape[0] - 1
+    at, ys = [0, *[c + 1 for c in chosen]], list(range(total.shape[0] - targets, total.shape[0]))
     sse = 0.0
     for g in grams:
         train = total - g
         a = train[np.ix_(at, at)]
-        beta = np.linalg.solve(a + ridge * np.diag(np.diag(a) + 1e-12), train[at, y])
-        sse += g[y, y] - 2 * beta @ g[at, y] + beta @ g[np.ix_(at, at)] @ beta
-    sst = total[y, y] - total[0, y] ** 2 / total[0, 0] if total[0, 0] else 0.0
-    return 1 - sse / sst if sst > 0 else 0.0
+        beta = np.linalg.solve(a + ridge * np.diag(np.diag(a) + 1e-12), train[np.ix_(at, ys)])
+        sse += np.trace(g[np.ix_(ys, ys)] - 2 * beta.T @ g[np.ix_(at, ys)] + beta.T @ g[np.ix_(at, at)] @ beta)
+    sst = sum(total[y, y] - total[0, y] ** 2 / total[0, 0] if total[0, 0] else 0.0 for y in ys)
+    return float(1 - sse / sst) if sst > 0 else 0.0
 
 
-def stepwise(df: DataFrame, id_col: str, features: Sequence[str], target: str, n: int, forward: bool = True, redundancy: float | None = None, folds: int = 5, seed: int = 69) -> list[tuple[str, float]]:
+def stepwise(
+    df: DataFrame, id_col: str, features: Sequence[str], target: str, n: int, forward: bool = True, redundancy: float | None = None, folds: int = 5,
+    seed: int = 69, classes: Sequence | None = None,
+) -> list[tuple[str, float]]:
     """Features in the order they are chosen (forward) or kept (backward), with the cross-validated score after each step.
 
     All candidates of all steps are scored from one set of cross products, so the data is read
     once whatever the number of steps. ``redundancy``: in each forward step, candidates whose score
-    is within it of the best are dropped as redundant; only the best joins.
+    is within it of the best are dropped as redundant; only the best joins. ``classes``: the codes of a
+    class target, which is then predicted as an indicator a class, whatever the order of the codes.
     """
-    names, grams = list(features), gram(df, id_col, features, target, folds, seed)
+    names, grams = list(features), gram(df, id_col, features, target, folds, seed, classes)
+    score = lambda chosen: cv_r2(grams, chosen, targets=len(classes) if classes is not None else 1)
     n = min(n, len(names))
     if forward:
         chosen: list[int] = []
         steps, left = [], list(range(len(names)))
         while left and len(chosen) < n:
-            scored = sorted(((cv_r2(grams, [*chosen, c]), c) for c in left), key=lambda x: (-x[0], names[x[1]]))
+            scored = sorted(((score([*chosen, c]), c) for c in left), key=lambda x: (-x[0], names[x[1]]))
             best, c = scored[0]
             chosen.append(c)
             steps.append((names[c], best))
@@ -141,9 +148,9 @@ def stepwise(df: DataFrame, id_col: str, features: Sequence[str], target: str, n
         return steps
     kept = list(range(len(names)))
     while len(kept) > n:
-        _, worst = max(((cv_r2(grams, [k for k in kept if k != c]), c) for c in kept), key=lambda x: (x[0], names[x[1]]))
+        _, worst = max(((score([k for k in kept if k != c]), c) for c in kept), key=lambda x: (x[0], names[x[1]]))
         kept.remove(worst)
-    return [(names[c], cv_r2(grams, kept)) for c in kept]
+    return [(names[c], score(kept)) for c in kept]
 
 
 def by_model(df: DataFrame, features: Sequence[str], target: str, classify: bool, how: str = "linear", penalty: float = 0.01, seed: int = 69) -> list[tuple[str, float]]:
@@ -170,11 +177,12 @@ def by_model(df: DataFrame, features: Sequence[str], target: str, classify: bool
     return sorted(kept, key=lambda x: (-x[1], x[0]))
 
 
-def aggregate_selections(selections: DataFrame, strategy: str = "borda", higher: bool = True, **options) -> DataFrame:
+def aggregate_selections(selections: DataFrame, strategy: str = "borda", higher: bool = True, most: int | None = None, **options) -> DataFrame:
     """One list of features out of those chosen for several targets: ``feature``, ``score``, the best first.
 
     ``selections``: ``target``, ``feature``, ``score``. ``freq`` orders by the number of targets,
-    ``borda`` by rank aggregation; the median size of the targets' lists, between 5 and 80, is kept.
+    ``borda`` by rank aggregation; ``most`` are kept, by default the median size of the targets'
+    lists, between 5 and 80.
     """
     sizes = [r["count"] for r in selections.groupBy("target").count().collect()]
     if strategy == "freq":
@@ -183,7 +191,7 @@ def aggregate_selections(selections: DataFrame, strategy: str = "borda", higher:
         ranked = borda(selections, higher, **options).select("feature", "score")
     else:
         raise ValueError(f"unknown strategy: {strategy}")
-    return ranked.orderBy(F.desc("score"), "feature").limit(top_k(sizes))
+    return ranked.orderBy(F.desc("score"), "feature").limit(most or top_k(sizes))
 
 
 def mean_scores(scores: DataFrame) -> DataFrame:

@@ -88,6 +88,17 @@ class Options:
     def all_targets(self) -> list[str]:
         return self.targets or [self.target]
 
+    def check(self) -> None:
+        """Raises for a value that no operator knows; nothing is replaced by a default."""
+        known = {
+            "mode": ("classify", "regress"), "nan": ("mean", "median", "impute", "drop"), "wrapper_model": ("linear",), "wrapper_select": (None, "step-up", "step-down"),
+            "mt_agg_strategy": ("borda", "freq"), "aer_confidence_metric": ("auto", "p_max", "p_margin"), "df_tests_method": ("single", "list", "lodo"),
+            "filter_pred_classify": ("acc", "bal-acc", "f1"), "filter_pred_regress": ("mae", "msqe", "mdae", "r2", "var-exp"), "norm": ("robust", "minmax"),
+        }
+        for name, values in known.items():
+            if getattr(self, name) not in values:
+                raise ValueError(f"{name} can't be {getattr(self, name)!r}, only one of {values}")
+
     def to_dict(self) -> dict:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 

@@ -9,9 +9,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gridloom.functions.durable import Stage
 from gridloom.functions.names import sanitize
+from gridloom.functions.ranks import hashed_positions
 from gridloom.operators import adaptive as E
 from gridloom.operators import associate as A
 from gridloom.operators import describe as D
@@ -19,6 +21,7 @@ from gridloom.operators import ensemble as N
 from gridloom.operators import inspect as I
 from gridloom.operators import models as L
 from gridloom.operators import prepare as P
+from gridloom.operators import results as R
 from gridloom.operators import score as S
 from gridloom.operators import select as Q
 from gridloom.operators import split as X
@@ -56,7 +59,17 @@ def load(spark: SparkSession, options: Options) -> DataFrame:
         df = readers.read_table(spark, options.df, options.separator)
     else:
         raise ValueError("no table given: df, df_train or spreadsheet")
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    return numbered(df)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """Rows numbered in the order of a hash of what they hold, so that the numbers, and the splits drawn by them, don't depend on the files' layout.
+
+    Equal rows get neighbouring numbers in any order; they can stand for each other.
+    """
+    cells = [c for f in df.schema for c in (F.isnull(F.col(f"`{f.name}`")), F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`"))]
+    keyed = df.withColumn("_key", F.concat_ws("-", F.hex(F.xxhash64(F.lit(1), *cells)), F.hex(F.xxhash64(*cells, F.lit(2)))))
+    return hashed_positions(keyed, [], 0, "_key", ROW).drop("_key", f"{ROW}_of")
 
 
 def _associations(p: P.Prepared, target: str, classify: bool, o: Options) -> DataFrame:
@@ -71,23 +84,25 @@ def _associations(p: P.Prepared, target: str, classify: bool, o: Options) -> Dat
     return t.withColumns({"feature": F.when(F.col("kind") == "cat", F.regexp_replace("feature", "_raw$", "")).otherwise(F.col("feature")), "score": score})
 
 
-def _select(p: P.Prepared, target: str, classify: bool, o: Options, associations: DataFrame) -> dict[str, list[str]]:
+def _select(p: P.Prepared, target: str, classify: bool, o: Options, associations: DataFrame, predictions: DataFrame | None) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {"none": list(p.features)}
     if "filter" in o.feat_select:
         n_cont, n_cat = Q.n_select("cont", len(p.continuous), o.n_filter_cont), Q.n_select("cat", len(p.categorical), o.n_filter_cat)
         if "assoc" in o.filter_method:
             chosen = Q.by_association(associations, "score", n_cont, n_cat).orderBy("kind", "rank").collect()
             out["assoc"] = [c for r in chosen for c in P.columns_of_level(p, r.feature)]
-        if "pred" in o.filter_method and p.continuous:
-            scores = L.univariate_predictions(p.df, ROW, p.continuous, target, classify)
-            chosen = Q.by_prediction(scores, "acc" if classify else "mae", classify, n_cont).orderBy("rank").collect()
-            out["pred"] = [c for r in chosen for c in P.columns_of_level(p, r.feature)]
+        if predictions is not None:
+            metric, higher = o.filter_pred_classify if classify else o.filter_pred_regress, classify or o.filter_pred_regress in ("r2", "var-exp")
+            raw = F.col("feature").endswith("_raw")
+            chosen = [r for kind, n in ((~raw, n_cont), (raw, n_cat)) for r in Q.by_prediction(predictions.where(kind), metric, higher, n).orderBy("rank").collect()]
+            out["pred"] = [c for r in chosen for c in P.columns_of_level(p, r.feature.removesuffix("_raw") if r.feature not in p.continuous else r.feature)]
     if "embed" in o.feat_select:
         for how in o.embed_select:
             out[f"embed_{how}"] = [f for f, _ in Q.by_model(p.df, p.features, target, classify, how, seed=o.seed)]
     if o.wrapper_select or "wrap" in o.feat_select:
         redundancy = o.redundant_threshold if o.redundant_wrapper_selection else None
-        out["wrap"] = [f for f, _ in Q.stepwise(p.df, ROW, p.features, target, o.n_feat_wrapper, o.wrapper_select != "step-down", redundancy, seed=o.seed)]
+        classes = sorted(p.labels[target]) if classify and target in p.labels else None
+        out["wrap"] = [f for f, _ in Q.stepwise(p.df, ROW, p.features, target, o.n_feat_wrapper, o.wrapper_select != "step-down", redundancy, seed=o.seed, classes=classes)]
     return {k: v for k, v in out.items() if v}
 
 
@@ -113,14 +128,15 @@ def analyse(spark: SparkSession, options: Options, df: DataFrame | None = None)
     what later steps read.
     """
     o, classify = options, options.mode == "classify"
-    raw = df.withColumn(ROW, F.monotonically_increasing_id()) if df is not None and ROW not in df.columns else df if df is not None else load(spark, o)
+    o.check()
+    raw = load(spark, o) if df is None else df if ROW in df.columns else numbered(df)
     rows, renames = sanitize(raw, o.all_targets()[0])
     targets = renames.apply(o.all_targets())
     group = renames.apply([o.grouper])[0] if o.grouper else None
     own = [ROW, *(["_src"] if "_src" in rows.columns else [])]
     schema = I.inspect(rows.drop(*targets, *own), None, renames.apply(o.categoricals), renames.apply(o.ordinals), renames.apply(o.drops), group)
     report = Report(schema)
-    p = P.prepare(rows, targets, schema.continuous, schema.categorical, classify, group, o.nan if o.nan in ("mean", "median") else "median", True, o.norm == "robust")
+    p = P.prepare(rows, targets, schema.continuous, schema.categorical, classify, group, o.nan, True, o.norm == "robust")
     p.validate(classify)
     stage = Stage(spark, "analysis")  # tables that many later steps read
     p.df = stage.write(p.df)
@@ -128,11 +144,18 @@ def analyse(spark: SparkSession, options: Options, df: DataFrame | None = None)
     report.tables["inspection"] = schema.table(spark)
     described = D.describe_all(rows, p.continuous, p.categorical, targets[0], classify)
     report.tables |= {f"describe_{k}": t for k, t in described.items() if t is not None}
+    for t in targets[1:]:
+        report.tables[f"describe_target_{t}"] = D.describe_all(rows, [], [], t, classify)["target"]
     performance, aer = [], []
     for target in targets:
         own_p = p.for_target(target) if len(targets) > 1 else p
         associations = report.tables[f"associations_{target}"] = stage.write(_associations(own_p, target, classify, o))
-        chosen = _select(own_p, target, classify, o, associations)
+        predictions = None
+        if "filter" in o.feat_select and "pred" in o.filter_method and not o.no_preds:
+            raw_cat = [f"{c}_raw" for c in (own_p.one_hot.levels if own_p.one_hot else {})]
+            known = L.UNIVARIATE[classify]
+            predictions = report.tables[f"predictions_{target}"] = stage.write(L.univariate_predictions(own_p.df, ROW, own_p.continuous, target, classify, seed=o.seed, categorical=raw_cat, metrics=known))
+        chosen = _select(own_p, target, classify, o, associations, predictions)
         report.selected |= {f"{target}.{k}": v for k, v in chosen.items()}
         for how, features in chosen.items():
             for split, train, test in _holdout(own_p, target, classify, o, sources):
@@ -147,7 +170,15 @@ def analyse(spark: SparkSession, options: Options, df: DataFrame | None = None)
                         oof = stage.write(E.confidence_metrics(L.out_of_fold(a, name, t.params, True, o.aer_oof_folds, o.seed), "proba").withColumns(tags))
                         held = E.confidence_metrics(predicted, "proba").withColumns(tags)
                         aer.append((oof, held, t.score))
+    if len(targets) > 1:
+        ranked = [report.tables[f"associations_{t}"].groupBy("feature").agg(F.max(F.abs("score")).alias("score")).where("score IS NOT NULL").withColumn("target", F.lit(t)) for t in targets]
+        agreed = Q.aggregate_selections(reduce(DataFrame.unionByName, ranked), o.mt_agg_strategy, most=o.mt_top_k)
+        report.tables["selection_over_targets"] = agreed
+        report.selected["all.assoc"] = [r.feature for r in agreed.collect()]
     report.tables["performance"] = reduce(DataFrame.unionByName, performance)
+    keys = ["target", "model", "selection", "split"]
+    names = sorted({r.metric for r in report.tables["performance"].select("metric").distinct().collect()})  # a handful
+    report.tables["final"] = R.wide_table(report.tables["performance"], keys, "metric", "value", names)
     if aer:
         _adaptive(report, aer, o)
     if o.outdir:
@@ -166,8 +197,13 @@ def _adaptive(report: Report, parts: list, o: Options) -> None:
     held = reduce(DataFrame.unionByName, [x[1].drop("selection") for x in parts])
     wrong = F.col("label") != F.col("y_pred")
     options = {"n_bins": o.aer_bins, "min_count": o.aer_min_bin_count, "smooth": o.aer_smooth, "monotonic": o.aer_monotonic, "prior": o.aer_prior_strength, "adaptive": o.aer_adaptive_binning}
-    metric = o.aer_confidence_metric if o.aer_confidence_metric in ("p_max", "p_margin") else "p_max"
     stage = Stage(oof.sparkSession, "adaptive")
+    metric = o.aer_confidence_metric
+    if metric == "auto":  # the one whose cross-fitted expected error predicts errors best
+        ranked = oof.withColumn("_key", F.concat_ws("/", *keys, "id"))
+        brier = report.tables["confidence_choice"] = stage.write(E.select_confidence(ranked, "_key", ["p_max", "p_margin"], wrong))
+        best = brier.orderBy("brier", "metric").first()
+        metric = best.metric if best else "p_max"
     bins = stage.write(E.fit_bins(oof, keys, metric, wrong, **options))
     scored = stage.write(E.expected_error(held, keys, metric, bins))
     risk = E.expected_error(oof, keys, metric, bins)
@@ -178,7 +214,9 @@ def _adaptive(report: Report, parts: list, o: Options) -> None:
         "reliability": S.reliability(scored, keys, "aer", wrong), "most_uncertain": scored.orderBy(F.desc("aer"), "id").limit(20),
     }
     if o.aer_ensemble:
-        acc = oof.groupBy(*keys).agg(F.avg((~wrong).cast("double")).alias("acc"))
+        acc = oof.groupBy(*keys).agg(F.avg((~wrong).cast("double")).alias("acc"))  # a row a model
+        if o.aer_top_k:
+            acc = acc.withColumn("_r", F.row_number().over(W.partitionBy("target", "split").orderBy(F.desc("acc"), "model"))).where(F.col("_r") <= o.aer_top_k).drop("_r")
         stack = scored.join(acc, keys).select(F.concat_ws("/", "target", "split", "id").alias("row_id"), "model", "acc", "aer", "proba")
         params = {"top_n": o.aer_ens_top_n, "beta": o.aer_ens_beta, "tau0": o.aer_ens_tau0, "lam": o.aer_ens_lambda, "alpha": o.aer_ens_alpha, "trim_q": o.aer_ens_trim_q, "tau_low": o.aer_ens_tau_low, "tau_high": o.aer_ens_tau_high}
         for name in o.aer_ensemble_strategies or list(N.STRATEGIES):
