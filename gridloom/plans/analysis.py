@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +24,7 @@ from gridloom.operators import score as S
 from gridloom.operators import select as Q
 from gridloom.operators import split as X
 from gridloom.options import Options
-from gridloom.sources import readers, writers
+from gridloom.sources import readers, saved, writers
 
 ROW = "_row_id"
 
@@ -121,14 +119,19 @@ def _scores(predicted: DataFrame, classify: bool) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in wide.columns])).alias("m")).select("m.*")
 
 
-def analyse(spark: SparkSession, options: Options, df: DataFrame | None = None) -> Report:
-    """Runs the analysis; with ``outdir`` all tables are written to the run's folder.
+def analyse(spark: SparkSession, options: Options, df: DataFrame | None = None, resume: bool = False) -> Report:
+    """Runs the analysis; with ``outdir`` all tables are written to the run's folder, named by the options.
+
+    ``resume`` reads a run with these options back from there, if it was finished.
 
     One model is tuned for each target, family, selection and split; predictions, not models, are
     what later steps read.
     """
     o, classify = options, options.mode == "classify"
     o.check()
+    folder = f"{o.outdir.rstrip('/')}/{writers.run_key(o.to_dict())}" if o.outdir else None
+    if folder and resume and (back := saved.load_run(spark, folder)):
+        return Report(I.Schema({r.feature_name: (r.inferred, r.reason, r.user) for r in back.tables["inspection"].collect()}), back.tables, back.selected, back.tuned, folder)
     raw = load(spark, o) if df is None else df if ROW in df.columns else numbered(df)
     rows, renames = sanitize(raw, o.all_targets()[0])
     targets = renames.apply(o.all_targets())
@@ -182,11 +185,8 @@ def analyse(spark: SparkSession, options: Options, df: DataFrame | None = None)
     if aer:
         _adaptive(report, aer, o)
     if o.outdir:
-        report.folder = writers.run_folder(o.outdir, o.to_dict())
-        for name, t in report.tables.items():
-            writers.write_table(t, f"{report.folder}/results/{name}", "parquet")
-        (Path(report.folder) / "results/report.md").write_text(report.to_markdown())
-        (Path(report.folder) / "tuning/tuned.json").write_text(json.dumps(report.tuned, default=str, indent=2))
+        report.folder = folder
+        saved.save_run(folder, o, report.tables, report.selected, report.tuned, report.to_markdown(), p, ("per_sample", *[k for k in report.tables if k.startswith("ensemble_")]))
     return report
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from gridloom.functions.durable import shared_dir
 from gridloom.functions.labels import missing_sql, plain, plain_or_null, plain_sql
 from gridloom.functions.nulls import NAN_STRINGS, floatify, unify_nans
 from gridloom.operators import associate as A
@@ -16,6 +19,7 @@ from gridloom.operators import select as F_
 from gridloom.operators import split as X
 from gridloom.operators.shape import melt
 from gridloom.plans.common import long_sql, rounded, rounded_sql, table
+from gridloom.sources import saved
 from gridloom.plans.oracles import associations_sql, infer_sql, prepare_sql, profile_sql
 
 NUM = ["a2", "a3", "a11", "a14", "a15"]
@@ -86,6 +90,33 @@ def _prepared(s, d):
     return rounded(melt(p.df, p.features, {"row_id": F.col("row_id"), "target": F.col("target")}))
 
 
+def _round_trip(s, d):
+    """The prepared table saved, read back, and shown as ``prepare`` shows it."""
+    t = table(s, d, "prep_rows")
+    p = P.prepare(t.withColumns({c: plain_or_null(c) for c in (*CAT, "target")}), ["target"], NUM, CAT, True, "g_raw")
+    at = f"{shared_dir(s)}/saved-{uuid.uuid4().hex}"
+    saved.save_prepared(p, at)
+    back = saved.load_prepared(s, at)
+    return rounded(melt(back.df, back.features, {"row_id": F.col("row_id"), "target": F.col("target")}))
+
+
+def _formats(s, d):
+    """A table written in each format and read back by its suffix."""
+    n = table(s, d, "studies").select("study", "n_samples", "n_cols")
+    at = f"{shared_dir(s)}/formats-{uuid.uuid4().hex}"
+    copies = [saved.csv_copy(s, n, f"{at}/t", kind).withColumn("kind", F.lit(kind)) for kind in ("csv", "json", "parquet")]
+    return R.stack_tables(copies)
+
+
+def _group_summary(s, d):
+    """Rows, groups, groups that lie in more than one fold, and whether the folds' sizes differ by no more than the largest group and a hundredth of the rows."""
+    f = _group_folds(s, d)
+    per = f.groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("fold").alias("k"))
+    total = per.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.count_if(F.col("k") > 1).alias("n_torn"), F.max("n").alias("largest"))
+    sizes = f.groupBy("fold").count().agg(F.min("count").alias("lo"), F.max("count").alias("hi"), F.count("*").alias("n_folds"))
+    return total.crossJoin(sizes).select("n_rows", "n_groups", "n_folds", "n_torn", (F.col("hi") - F.col("lo") <= F.col("largest") + F.col("n_rows") / 100).cast("int").alias("even"))  # one row each
+
+
 def _group_folds(s, d):
     t = X.group_folds(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", 5, "o_orderstatus")
     return t.select("o_orderkey", "o_custkey", "fold")
@@ -181,6 +212,9 @@ QUERIES = {
     "contiguous_folds": lambda s, d: X.contiguous_folds(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 7),
     "group_folds": _group_folds,
     "holdout": lambda s, d: X.holdout(_prep(s, d).select("row_id", "target"), "row_id", "target"),
+    "group_folds_summary": _group_summary,
+    "prepared_round_trip": _round_trip,
+    "format_round_trips": _formats,
     "grouped_holdout": lambda s, d: X.grouped_holdout(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", "o_orderstatus"),
     "subsample": lambda s, d: X.subsample(_prep(s, d).select("row_id", "target"), "row_id", "target", 600),
     "degenerate_folds": lambda s, d: X.degenerate(_prep(s, d).withColumn("fold", F.coalesce("test_no", F.lit(-1))).where("target IS NOT NULL"), "fold", "target", 10, 200),
@@ -245,6 +279,9 @@ ORACLE = {
     "column_profile": profile_sql([*CAT, "g_raw", "ix_train", "a2"]),
     "infer_types": infer_sql(["row_id", "study", "ix_train", "ix_tests", "test_no", *[f"a{i}" for i in range(1, 16)], "loaded_at"], ["loaded_at"]),
     "prepare": prepare_sql(),
+    "prepared_round_trip": prepare_sql(),
+    "format_round_trips": " UNION ALL ".join(f"SELECT study, CAST(n_samples AS VARCHAR) AS n_samples, CAST(n_cols AS VARCHAR) AS n_cols, '{k}' AS kind FROM studies" for k in ("csv", "json", "parquet")),
+    "group_folds_summary": "SELECT CAST(count(*) AS BIGINT) AS n_rows, count(DISTINCT o_custkey) AS n_groups, CAST(5 AS BIGINT) AS n_folds, CAST(0 AS BIGINT) AS n_torn, 1 AS even FROM orders",
     "filter_association": rounded_sql(associations_sql(), ["score"]),
     "inspect_target_class": rounded_sql(
         f"WITH {_PREP}, c AS (SELECT target, count(*) AS k FROM p GROUP BY target) SELECT max(k) FILTER (WHERE target IS NOT NULL) / sum(k) AS p_max, min(k) FILTER (WHERE target IS NOT NULL) / sum(k) AS p_min, coalesce(sum(k) FILTER (WHERE target IS NULL), 0) / sum(k) AS p_nan, count(target) AS n_classes FROM c",

@@ -8,6 +8,7 @@ from gridloom.operators import prepare as P
 from gridloom.operators import select as Q
 from gridloom.options import Options
 from gridloom.plans import analysis
+from gridloom.sources import saved
 from gridloom.plans.analysis import _associations, analyse
 
 
@@ -27,6 +28,13 @@ def test_classes_with_adaptive_error(spark, tmp_path):
     back = spark.read.parquet(f"{r.folder}/results/adaptive_error_bins")
     assert back.count() >= 1 and (tmp_path / r.folder / "results/report.md").exists()
     assert r.tables["ensemble_strategy1_min_aer"].count() == r.tables["per_sample"].count() > 100
+    again = analyse(spark, o, None, resume=True)  # no table given: what is read back was saved
+    assert again.selected == r.selected and again.schema.kinds == r.schema.kinds and set(again.tables) == set(r.tables)
+    rows = lambda x: sorted(map(str, x.tables["performance"].collect()))
+    assert rows(again) == rows(r)
+    kept = saved.load_run(spark, r.folder).prepared
+    assert kept.one_hot.levels and kept.df.count() == 300 and kept.labels == {"y": {0: "no", 1: "yes"}}
+    assert saved.load_run(spark, str(tmp_path / "nothing")) is None
 
 
 def test_numbers(spark):
@@ -72,3 +80,38 @@ def test_search_by_another_metric(spark):
     assert 0.5 < t.score <= 1 and len(t.trials) == 2
     with pytest.raises(ValueError):
         L.tune(rows, "elastic", False, metric="acc")
+
+
+def test_unknown_values_are_refused(spark):
+    for bad in ({"nan": "guess"}, {"wrapper_model": "lgbm"}, {"mt_agg_strategy": "vote"}, {"aer_confidence_metric": "tree"}, {"filter_pred_classify": "auc"}):
+        with pytest.raises(ValueError):
+            analyse(spark, Options(target="y", **bad), spark.createDataFrame(table(40)))
+
+
+def test_rows_are_numbered_by_what_they_hold(spark):
+    pdf = pd.DataFrame({"a": [1, 2, 2, 3, None], "b": ["x", "y", "y", None, "z"]})
+    one = {(r.a, r.b, r[analysis.ROW]) for r in analysis.numbered(spark.createDataFrame(pdf)).collect() if r.a == r.a}
+    two = {(r.a, r.b, r[analysis.ROW]) for r in analysis.numbered(spark.createDataFrame(pdf.iloc[::-1]).repartition(3)).collect() if r.a == r.a}
+    assert one == two and len({i for _, _, i in one}) == 4
+
+
+def test_missing_numbers(spark):
+    r = np.random.default_rng(0)
+    x = r.normal(size=200)
+    pdf = pd.DataFrame({"u": np.where(r.random(200) < 0.2, np.nan, x), "v": 2 * x, "y": np.where(x > 0, "a", "b")})
+    df = spark.createDataFrame(pdf)
+    dropped = P.prepare(df, ["y"], ["u", "v"], [], True, nan="drop")
+    assert dropped.df.count() == pdf["u"].notna().sum() and dropped.indicators == []
+    guessed = P.prepare(df, ["y"], ["u", "v"], [], True, nan="impute")
+    got = guessed.df.select("u", "v", "u_NAN").toPandas()
+    assert guessed.indicators == ["u_NAN"[:-4]] and got["u_NAN"].sum() == pdf["u"].isna().sum() and np.allclose(got["u"], got["v"] / 2, atol=1e-6)
+
+
+def test_one_feature_models_of_both_kinds(spark):
+    r = np.random.default_rng(0)
+    x = r.normal(size=400)
+    pdf = pd.DataFrame({"i": np.arange(400), "x": r.normal(size=400), "c": np.where(x > 0, "u", "v"), "y": np.where(x > 0, "a", "b")})
+    s = {(k.feature, k.model): k for k in L.univariate_predictions(spark.createDataFrame(pdf), "i", ["x"], "y", True, categorical=["c"], metrics=["acc", "bal-acc", "f1"]).collect()}
+    assert s[("c", "linear")]["acc"] == 1.0 and s[("c", "linear")]["f1"] == 1.0 and s[("x", "linear")]["bal-acc"] < 0.7
+    steps = Q.stepwise(spark.createDataFrame(pdf.assign(z=np.abs(x), t=np.digitize(x, [-0.5, 0.5]) * 5 % 3)), "i", ["x", "z"], "t", 1, classes=[0, 1, 2])
+    assert steps[0][0] == "z"
